@@ -6,10 +6,11 @@ insurance_rate, insurance_on_buyer_fee, import_duty_rate, fx_spread_rate.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Route, Settings
+from .stage import stage
 from .text import as_col
 
 
@@ -190,30 +191,43 @@ def whole_dollars(price: Column) -> Column:
     return F.when(price > 0, F.floor(price).cast("long"))
 
 
-def bid_levels(fair: Column, pinned, category, title, object_class,
-               s: Settings = DEFAULT) -> Column:
-    """struct(max_bid, breakeven) in whole dollars.
+def with_bid_levels(df: DataFrame, fair: str, s: Settings = DEFAULT
+                    ) -> DataFrame:
+    """Add max_bid and breakeven in whole dollars.
 
-    Normal checkout holds strictly below the vault boundary and the vault
-    holds only when the bid itself reaches it; the better valid one wins.
+    Needs site, category, title, object_class, resale_channel, marketplace
+    and the cost columns.  Normal checkout holds strictly below the vault
+    boundary and the vault only when the bid itself reaches it; the better
+    valid one wins.
     """
-    asset = vault_eligible("site", category, title, object_class, s)
-    tax = tax_rate(F.lit(False), s=s)
-    normal = best_exit(fair, pinned, category, title, F.lit(False), asset, s)
-    vault = best_exit(fair, pinned, category, title, F.lit(True), asset, s)
-    keep = F.lit(1.0 + max(0.0, s.target_roi))
-    cap = price_for_landed_cost(F.lit(float(s.vault.min_price)))
-
-    def level(divisor):
-        plain = price_for_total_cost(normal["net"] / divisor, tax)
-        vaulted = price_for_total_cost(vault["net"] / divisor, F.lit(0.0))
-        below = F.when(cap > 0, F.least(plain, cap - F.lit(1e-9)))
+    names = df.columns
+    asset = vault_eligible("site", "category", "title", "object_class", s)
+    value = F.col(fair)
+    df = stage(df, _asset=asset, _tax=tax_rate(F.lit(False), s=s))
+    exits = [best_exit(value, "resale_channel", "category", "title", ok,
+                       F.col("_asset"), s)["net"]
+             for ok in (F.lit(False), F.lit(True))]
+    df = stage(df, _normal=exits[0], _vault=exits[1], _cap=price_for_landed_cost(
+        F.lit(float(s.vault.min_price))))
+    keep = 1.0 + max(0.0, s.target_roi)
+    wanted = {"max_bid": keep, "breakeven": 1.0}
+    levels = {}
+    for name, divisor in wanted.items():
+        levels[f"_n_{name}"] = price_for_total_cost(
+            F.col("_normal") / F.lit(divisor), F.col("_tax"))
+        levels[f"_v_{name}"] = price_for_total_cost(
+            F.col("_vault") / F.lit(divisor), F.lit(0.0))
+    df = stage(df, **levels)
+
+    def level(name):
+        plain, vaulted = F.col(f"_n_{name}"), F.col(f"_v_{name}")
+        below = F.when(F.col("_cap") > 0,
+                       F.least(plain, F.col("_cap") - F.lit(1e-9)))
         reached = F.when(landed_cost(vaulted) >= F.lit(s.vault.min_price),
                          vaulted)
-        return whole_dollars(F.when(asset, F.greatest(
-            F.when(below > 0, below), F.when(reached > 0, reached))
-            ).otherwise(plain))
+        return F.when(value > 0, whole_dollars(F.when(
+            F.col("_asset"), F.greatest(F.when(below > 0, below),
+                                        F.when(reached > 0, reached))
+        ).otherwise(plain)))
 
-    return F.when(fair > 0, F.struct(
-        level(keep).alias("max_bid"),
-        level(F.lit(1.0)).alias("breakeven")))
+    return df.select(*names, *[level(n).alias(n) for n in wanted])

@@ -20,6 +20,13 @@ FIELDS = (
     "series", "completeness", "variant", "set_tokens", "effective", "tokens",
     "foreign", "region",
 )
+# What judging one text against another needs.
+MATCH_FIELDS = ("low", "subject_all", "words", "years", "card_number",
+                "grader", "holo", "edition", "series", "completeness",
+                "effective", "tokens")
+# What deciding whether two assets differ needs.
+ASSET_FIELDS = ("object_class", "year", "subject", "number", "parallel",
+                "serial", "is_auto", "is_relic", "qualifier")
 
 
 def object_class(low: Column, grader: Column) -> Column:
@@ -97,9 +104,16 @@ def qualifier(low: Column) -> Column:
             .otherwise(word))
 
 
-def with_identity(df: DataFrame, title: str = "title",
-                  out: str = "ident") -> DataFrame:
-    """Add the identity struct of a text column."""
+def with_identity(df: DataFrame, title: str = "title", out: str = "ident",
+                  fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Add the identity struct of a text column (all fields, or the named
+    ones).
+
+    The struct passes through a one-row generator.  Predicates on its fields
+    then stay above the parse instead of being pushed below it with the
+    whole expression copied into each of them; predicates on other columns
+    still reach the scan.
+    """
     p = f"_{out}_"
     keep = df.columns
     staged = df.select(
@@ -122,7 +136,7 @@ def with_identity(df: DataFrame, title: str = "title",
     named = text.without(F.col(p + "words"), vocab.GENERIC_WORDS)
     numeric = ~F.coalesce(F.col(p + "qual").isin("authentic", "altered"),
                           F.lit(False))
-    ident = F.struct(
+    made = [
         low.alias("low"),
         object_class(low, F.col(p + "g.grader")).alias("object_class"),
         F.array_min(p + "years").alias("year"),
@@ -153,8 +167,10 @@ def with_identity(df: DataFrame, title: str = "title",
         F.col(p + "g.effective").alias("effective"),
         text.match_tokens(low, F.col(p + "eff")).alias("tokens"),
         low.rlike(vocab.FOREIGN).alias("foreign"),
-        low.rlike(vocab.REGION).alias("region"))
-    return staged.select(*keep, ident.alias(out))
+        low.rlike(vocab.REGION).alias("region")]
+    if fields is not None:
+        made = [c for name, c in zip(FIELDS, made) if name in fields]
+    return staged.select(*keep, F.explode(F.array(F.struct(*made))).alias(out))
 
 
 def fingerprint(i: Column) -> Column:
@@ -276,3 +292,9 @@ def genre_class(genre) -> Column:
 def match_band(score: Column) -> Column:
     return (F.when(score >= 0.80, "exact").when(score >= 0.62, "strong")
             .when(score >= 0.40, "weak").otherwise("none"))
+
+
+def parse_distinct(df: DataFrame, column: str, out: str = "ident",
+                   fields: tuple[str, ...] | None = None) -> DataFrame:
+    """(column, identity) once per distinct text, to be joined back."""
+    return with_identity(df.select(column).distinct(), column, out, fields)

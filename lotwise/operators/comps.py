@@ -8,7 +8,7 @@ from ..config import DEFAULT, Settings
 from ..functions import grades, identity, matching, text, variants
 from . import rank
 
-WEIGHT = "decimal(20,12)"
+WEIGHT = "decimal(38,28)"
 
 
 def hours_between(earlier, later) -> Column:
@@ -53,8 +53,10 @@ def relevant_sales(sales: DataFrame, as_of: Column,
     grader and weight; keeps only rows that price the query.
     """
     pairs = sales.select("query", "title").distinct()
-    parsed = identity.with_identity(identity.with_identity(
-        pairs, "title", "t"), "query", "q")
+    parsed = identity.with_identity(
+        pairs, "title", "t", identity.MATCH_FIELDS).join(
+        identity.parse_distinct(sales, "query", "q", identity.MATCH_FIELDS),
+        "query")
     q, t = F.col("q"), F.col("t")
     # cheap exact rules and the lossless coverage bound first, the text
     # similarity only on what is left

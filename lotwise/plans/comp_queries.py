@@ -56,8 +56,8 @@ KEPT = f"""{ctes('sales')},
   {score_sql('q', 't')} AS match FROM t JOIN q ON q.qtext = t.query),
  kept AS (SELECT s.*, k.match,
   CAST(exp(-ln(2e0) * (({AS_OF} - s.sold_s) / 3600e0 / 24e0) / 30e0)
-   * k.match AS DECIMAL(20,12)) AS weight,
-  CAST(k.match AS DECIMAL(20,12)) AS match_exact
+   * k.match AS DECIMAL(38,28)) AS weight,
+  CAST(k.match AS DECIMAL(38,28)) AS match_exact
   FROM sales s JOIN scored k ON s.query = k.query AND s.title = k.title
   WHERE s.price > 0 AND k.reason IS NULL AND k.match >= 0.55)"""
 
