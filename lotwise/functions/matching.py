@@ -160,4 +160,9 @@ def candidate_score(mine: Column, other: Column, mine_low: Column,
              + when(mine["region"] != other["region"], -0.25)
              + game + placed)
     return F.when(ruled_out, F.lit(0.0)).otherwise(
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3))
+        thousandths(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))))
+
+
+def thousandths(value: Column) -> Column:
+    """Nearest thousandth of a non-negative score, half up."""
+    return F.floor(value * 1000.0 + 0.5) / 1000.0

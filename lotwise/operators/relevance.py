@@ -34,11 +34,15 @@ def sweep_queries(queries: DataFrame) -> DataFrame:
 
 def with_clock(listings: DataFrame, as_of: Column) -> DataFrame:
     """Age and time left at an explicit clock, never the wall clock."""
+    def hours(stamp, span):
+        return F.when(F.col(stamp).isNotNull(),
+                      F.greatest(F.lit(0.0), span))
+
     return listings.withColumns({
-        "hours_remaining": F.greatest(F.lit(0.0),
-                                      hours_between(as_of, "end_time")),
-        "age_hours": F.greatest(F.lit(0.0),
-                                hours_between("created_at", as_of))})
+        "hours_remaining": hours("end_time", hours_between(as_of,
+                                                           "end_time")),
+        "age_hours": hours("created_at", hours_between("created_at",
+                                                       as_of))})
 
 
 def target_mismatch(want: Column, found: Column, low: Column, high: Column

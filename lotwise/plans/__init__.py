@@ -1,5 +1,5 @@
 """Registered queries: each runs an operator over whole tables."""
 from .registry import COVERS, ORACLES, QUERIES
-from . import (comp_queries, listing_queries, text_queries)  # noqa: F401
+from . import (comp_queries, guide_queries, listing_queries, text_queries)  # noqa: F401
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]

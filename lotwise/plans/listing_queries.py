@@ -187,7 +187,8 @@ COSTS = f"""{PREPARED}, costs AS (SELECT *,
 @query("landed_costs", "V1 V2 V3 V4 S11", f"""{COSTS}
 SELECT row_id, fee AS buyer_fee, landed AS landed_cost, tax AS tax_rate,
  landed * (1e0 + tax) AS total_cost,
- round({INVERSE_SQL.format(x='landed')}, 6) AS price_back,
+ abs({INVERSE_SQL.format(x='landed')} - current_price) < 1e-6
+ AS inverse_holds,
  {INVERSE_SQL.format(x='(5e2 / (1e0 + tax))')} AS price_at_500
 FROM costs""")
 def landed_costs(spark, sf_dir):
@@ -198,8 +199,8 @@ def landed_costs(spark, sf_dir):
                                       ).alias("buyer_fee"),
         landed.alias("landed_cost"), tax.alias("tax_rate"),
         economics.total_cost("current_price", tax).alias("total_cost"),
-        F.round(economics.price_for_landed_cost(landed), 6
-                ).alias("price_back"),
+        (F.abs(economics.price_for_landed_cost(landed)
+               - F.col("current_price")) < 1e-6).alias("inverse_holds"),
         economics.price_for_total_cost(F.lit(500.0), tax
                                        ).alias("price_at_500"))
 
