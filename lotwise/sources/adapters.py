@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stage import stage
+
 # Every job takes an explicit clock.  Listings and sales are judged at
 # 2002-01-01, the event tables at 2024-02-01 (UTC, epoch seconds).
 AS_OF = 1009843200
@@ -209,6 +211,47 @@ SELECT CONCAT('lot ', o_orderkey) AS description,
 FROM {orders}"""
 
 
+# Listings with a valuation made of plain arithmetic, for the gates and views
+# that only read valuation columns.
+VIEWS["valued"] = f"""
+SELECT l.row_id, l.query, l.title, l.site, l.listing_type, l.url, l.listing_id,
+ l.current_price, l.shipping, l.bid_count, l.has_buy_now, l.buy_now_price,
+ l.best_offer, l.canonical_asset_id, l.end_s, l.created_s,
+ CASE WHEN l.end_s IS NULL THEN NULL WHEN l.end_s < {AS_OF} THEN 0E0
+ ELSE (l.end_s - {AS_OF}) / 36E2 END AS hours_remaining,
+ CASE WHEN l.created_s IS NOT NULL THEN ({AS_OF} - l.created_s) / 36E2 END
+ AS age_hours, q.set_need, q.value_floor_override, q.structured_target,
+ q.discovery AND l.k % 4 <> 0 AS discovery,
+ q.discovery AND l.k % 4 = 0 AS promoted_from_discovery,
+ q.priority AS priority, 'auto' AS resale_channel,
+ CASE WHEN l.query LIKE 'Pokemon%' THEN 'Pokemon Cards' WHEN l.query LIKE
+ 'Nintendo%' THEN 'Video Games' WHEN l.k % 41 = 0 THEN 'Watches'
+ WHEN l.title LIKE '%Signed Photo%' THEN 'Sports Memorabilia'
+ ELSE 'Sports Cards' END AS category,
+ CASE WHEN l.k % 37 = 0 THEN 0E0 ELSE l.current_price * (5E-1 +
+ (l.k % 211) / 1E2) END AS fair_value,
+ CASE WHEN l.k % 5 = 0 THEN NULL ELSE l.current_price * 11E-1 END
+ AS comps_value, CASE WHEN l.k % 3 = 0 THEN l.current_price * 12E-1 END
+ AS guide_value, CAST(l.k % 14 AS INT) AS n_comps,
+ CASE l.k % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'strong' WHEN 2 THEN 'weak'
+ ELSE 'none' END AS match, l.k % 23 = 0 AS disputed, l.k % 17 = 0 AS regraded,
+ CASE l.k % 11 WHEN 1 THEN 'ASK-BASED' WHEN 2 THEN 'MIXED POOL' WHEN 3 THEN
+ 'IDENTITY UNRESOLVED' WHEN 4 THEN 'SUSPICIOUS' WHEN 5 THEN 'FRESH'
+ WHEN 6 THEN 'STALE COMPS' END AS note_code,
+ l.current_price * ((l.k % 97) - 3E1) / 1E2 AS expected_value,
+ l.current_price * ((l.k % 89) - 25E0) / 1E2 AS edge_now,
+ ((l.k % 97) - 3E1) / 1E2 AS roi, (l.k % 101) / 1E2 AS confidence,
+ (l.k % 61) / 6E1 AS capture, (l.k % 997) / 997E0 AS opportunity_score,
+ (l.k % 50) / 5E1 - 4E-1 AS trend_30d,
+ CASE l.k % 3 WHEN 0 THEN 'ebay' WHEN 1 THEN 'goldin' ELSE 'psa_vault' END
+ AS exit_channel, l.current_price * 9E-1 AS net_proceeds,
+ CONCAT(l.query, '|', l.k % 700) AS identity_key,
+ CASE WHEN l.k % 53 = 0 THEN CONCAT('wanted ', l.k % 7) END AS wanted,
+ CASE WHEN l.k % 53 = 0 THEN 1E2 - (l.k % 7) * 1E1 END AS wanted_score
+FROM ({VIEWS['listings'].replace("SELECT", "SELECT (l_partkey * 7919 + " 
+ "l_orderkey * 104729 + l_suppkey) % 1000003 AS k,", 1)}) l
+JOIN ({VIEWS['standing_queries']}) q ON l.query = q.query"""
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations")
@@ -254,7 +297,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain view as a DataFrame; *_s columns stay epoch seconds."""
     sql = render(VIEWS[name], "spark")
     frames = {t: table(spark, sf_dir, t) for t in used_tables(sql)}
-    return spark.sql(sql, **frames)
+    df = spark.sql(sql, **frames)
+    # "valued" stands for a stored table of valued rows: its columns are made
+    # once per row and not re-derived inside every predicate over them
+    return stage(df, **{c: df[c] for c in df.columns}
+                 ) if name == "valued" else df
 
 
 @lru_cache(maxsize=None)
