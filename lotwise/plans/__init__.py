@@ -1,6 +1,6 @@
 """Registered queries: each runs an operator over whole tables."""
 from .registry import COVERS, ORACLES, QUERIES
-from . import (comp_queries, guide_queries, listing_queries,
+from . import (book_queries, comp_queries, guide_queries, listing_queries,
                report_queries, text_queries)  # noqa: F401
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]
