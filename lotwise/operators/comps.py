@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import grades, identity, matching, text, variants
+from ..functions.numbers import nearest
 from . import rank
 
 WEIGHT = "decimal(38,28)"
@@ -188,8 +189,8 @@ def velocity(rows: DataFrame, keys: list[str], as_of: Column,
     agg = rows.groupBy(*keys).agg(
         F.bool_or(dated).alias("any_dated"),
         F.count_if(recent).alias("recent"), F.count_if(~dated).alias("rest"))
-    return agg.select(*keys, F.when(F.col("any_dated"), F.round(
-        F.col("recent") / 1.5, 2)).when(F.col("rest") > 0, F.round(
+    return agg.select(*keys, F.when(F.col("any_dated"), nearest(
+        F.col("recent") / 1.5, 2)).when(F.col("rest") > 0, nearest(
             F.col("rest") / 3.0, 2)).alias("sales_per_month"))
 
 

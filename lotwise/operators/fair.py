@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.numbers import nearest
 from ..functions.stage import stage
 from ..functions.text import as_col
 
@@ -95,7 +96,7 @@ def blend(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return df.select(
         *[c for c in names if c != "guide_value"],
         gv.alias("guide_value"), fair.alias("fair_value"),
-        F.round(F.when(F.col("_by_asks"), ask_conf)
+        nearest(F.when(F.col("_by_asks"), ask_conf)
                 .when(fair.isNotNull(), confidence)
                 .otherwise(F.lit(0.0)), 3).alias("confidence"),
         disputed.alias("disputed"),
@@ -166,13 +167,13 @@ def identity_led(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     ).otherwise(F.lit(1.0))
     capped = F.when(~landed, F.least(aged, F.lit(s.mixed_pool_confidence))
                     ).otherwise(aged)
-    capped = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), capped)), 3)
+    capped = nearest(F.greatest(F.lit(0.0), F.least(F.lit(1.0), capped)), 3)
     confidence = (F.when(F.col("_fair").isNull(), F.lit(0.0))
-                  .when(F.col("_asked"), F.round(F.least(
+                  .when(F.col("_asked"), nearest(F.least(
                       F.lit(0.35), 0.15 + 0.02 * F.col("asks")), 3))
                   .when(F.col("_disputed"), F.least(capped, F.lit(0.30)))
                   .otherwise(capped))
-    monthly = F.coalesce(F.round(F.nullif(F.col("sales_volume"), F.lit(0))
+    monthly = F.coalesce(nearest(F.nullif(F.col("sales_volume"), F.lit(0))
                                  / 12.0, 2), F.col("sales_per_month"))
     replaced = ("comps_value", "n_comps", "dispersion", "sales_per_month",
                 "comp_age_hours", "avg_match")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import economics, text
+from ..functions.stage import stage
 from . import rank
 
 # ---------------------------------------------------------------- fixed values
@@ -60,10 +61,10 @@ def mark(held: DataFrame, fairs: DataFrame, as_of: Column,
     rows = held.join(fairs.withColumnRenamed("query", "_q"),
                      F.lower("query") == F.col("_q"), "left").drop("_q")
     closed = F.col("sold").isNotNull() & F.col("proceeds").isNotNull()
-    exit_ = economics.best_exit(
-        F.col("fair"), F.col("resale_channel"), text.category("query"),
-        F.col("description"), F.lit(False), F.lit(False), s)
-    rows = rows.select("*", closed.alias("_closed"), exit_.alias("_exit"))
+    rows = stage(rows, _closed=closed, _category=text.category("query"))
+    rows = stage(rows, _exit=economics.best_exit(
+        F.col("fair"), F.col("resale_channel"), F.col("_category"),
+        F.col("description"), F.lit(False), F.lit(False), s))
     value = F.when(F.col("_closed"), F.col("proceeds")).when(
         F.col("fair") > 0, F.col("_exit.net"))
     end = F.coalesce("sold", F.to_date(as_of))

@@ -263,14 +263,14 @@ def seed_set(spark, sf_dir):
 # -------------------------------------------------------------------- history
 @query("awaiting_close", "J9 J10", f"""{ctes('observations', 'closed')}
 SELECT item_id, max(shipping) AS shipping, max(end_s) AS end_s FROM
- observations o WHERE site = 'ebay' AND end_s < 1705276800 AND end_s >
- 1705276800 - 864000 AND NOT EXISTS (SELECT 1 FROM closed c WHERE c.item_id =
- o.item_id AND closed_s < 1705276800) GROUP BY item_id""")
+ observations o WHERE site = 'ebay' AND end_s < 1704240000 AND end_s >
+ 1704240000 - 864000 AND NOT EXISTS (SELECT 1 FROM closed c WHERE c.item_id =
+ o.item_id AND closed_s < 1704153600) GROUP BY item_id""")
 def awaiting_close(spark, sf_dir):
     done = view(spark, sf_dir, "closed").filter(
-        F.col("closed_s") < 1705276800)
+        F.col("closed_s") < 1704153600)
     return history.awaiting(view(spark, sf_dir, "observations"), done,
-                            1705276800)
+                            1704240000)
 
 
 @query("matched_closes", "J9", f"""{ctes('observations', 'closes', 'closed')}

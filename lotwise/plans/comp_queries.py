@@ -112,12 +112,12 @@ def comp_value(spark, sf_dir):
                       F.round("avg_match", 9).alias("avg_match"))
 
 
-@query("comp_velocity", "A4 R8", f"""{KEPT}
+@query("comp_velocity", "A4 R8", duck.nearest_rounds(f"""{KEPT}
 SELECT query, CASE WHEN bool_or(site = '130point') THEN round(
  count(CASE WHEN site = '130point' AND ({AS_OF} - sold_s) / 3600e0 <= 1080
  THEN 1 END) / 1.5e0, 2) WHEN count(CASE WHEN site <> '130point' THEN 1 END)
  > 0 THEN round(count(CASE WHEN site <> '130point' THEN 1 END) / 3e0, 2) END
- AS sales_per_month FROM kept GROUP BY query""")
+ AS sales_per_month FROM kept GROUP BY query"""))
 def comp_velocity(spark, sf_dir):
     kept = comps.relevant_sales(sales(spark, sf_dir), now())
     return comps.velocity(kept, ["query"], now())

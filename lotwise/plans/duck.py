@@ -344,3 +344,19 @@ def guide_phrase(title_low: str, p: str = "") -> str:
            "'auto' END]), lambda x: x IS NOT NULL)")
     return (f"CASE WHEN {p}object_class = 'game' THEN {game} ELSE "
             f"array_to_string({uniq(raw)}, ' ') END")
+
+
+def nearest_rounds(sql: str) -> str:
+    """Replace round(x, n) by the half-up double form the library uses."""
+    while (start := sql.find("round(")) >= 0:
+        depth, i = 1, start + 6
+        comma = i
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            if sql[i] == "," and depth == 1:
+                comma = i
+            i += 1
+        body, digits = sql[start + 6:comma], int(sql[comma + 1:i - 1])
+        sql = (f"{sql[:start]}(floor(({body}) * 1e{digits} + 5e-1) / "
+               f"1e{digits}){sql[i:]}")
+    return sql
