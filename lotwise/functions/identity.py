@@ -294,7 +294,28 @@ def match_band(score: Column) -> Column:
             .when(score >= 0.40, "weak").otherwise("none"))
 
 
+def attach(df: DataFrame, column: str, out: str = "ident",
+           fields: tuple[str, ...] | None = None,
+           parsed: DataFrame | None = None) -> DataFrame:
+    """with_identity, or a join with a stored table of parsed texts."""
+    if parsed is None:
+        return with_identity(df, column, out, fields)
+    return df.join(parsed.select(F.col("text").alias(column),
+                                 F.col("ident").alias(out)), column)
+
+
 def parse_distinct(df: DataFrame, column: str, out: str = "ident",
-                   fields: tuple[str, ...] | None = None) -> DataFrame:
+                   fields: tuple[str, ...] | None = None,
+                   parsed: DataFrame | None = None) -> DataFrame:
     """(column, identity) once per distinct text, to be joined back."""
-    return with_identity(df.select(column).distinct(), column, out, fields)
+    return attach(df.select(column).distinct(), column, out, fields, parsed)
+
+
+def parse_texts(*columns: DataFrame) -> DataFrame:
+    """(text, ident) of every distinct text of one-column frames; worth
+    storing when several operators read the same texts."""
+    texts = columns[0].toDF("text")
+    for other in columns[1:]:
+        texts = texts.union(other.toDF("text"))
+    return with_identity(texts.filter(F.col("text").isNotNull()).distinct(),
+                         "text", "ident")

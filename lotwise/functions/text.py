@@ -53,11 +53,12 @@ def first(array: Column) -> Column:
 
 
 def contains_any(text: Column, needles) -> Column:
-    """Substring (not word) containment of any needle."""
-    test = F.lit(False)
-    for needle in needles:
-        test = test | text.contains(needle)
-    return test
+    """Substring (not word) containment of any needle, as one pattern of
+    quoted texts so that the searched text is evaluated once."""
+    needles = list(needles)
+    if not needles:
+        return F.lit(False)
+    return text.rlike("|".join(rf"\Q{needle}\E" for needle in needles))
 
 
 def overlap(a: Column, b: Column) -> Column:

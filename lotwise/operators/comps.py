@@ -45,8 +45,8 @@ def score(q: Column, t: Column, s: Settings = DEFAULT) -> Column:
                                 s.similarity)
 
 
-def relevant_sales(sales: DataFrame, as_of: Column,
-                   s: Settings = DEFAULT) -> DataFrame:
+def relevant_sales(sales: DataFrame, as_of: Column, s: Settings = DEFAULT,
+                   parsed: DataFrame | None = None) -> DataFrame:
     """Sales judged against their own standing query.
 
     Needs query, title, price, sold_at.  Titles repeat, so each distinct
@@ -54,14 +54,14 @@ def relevant_sales(sales: DataFrame, as_of: Column,
     grader and weight; keeps only rows that price the query.
     """
     pairs = sales.select("query", "title").distinct()
-    parsed = identity.with_identity(
-        pairs, "title", "t", identity.MATCH_FIELDS).join(
-        identity.parse_distinct(sales, "query", "q", identity.MATCH_FIELDS),
+    fields = identity.MATCH_FIELDS
+    both = identity.attach(pairs, "title", "t", fields, parsed).join(
+        identity.parse_distinct(sales, "query", "q", fields, parsed),
         "query")
     q, t = F.col("q"), F.col("t")
     # cheap exact rules and the lossless coverage bound first, the text
     # similarity only on what is left
-    near = parsed.filter(relevance(q, t, s).isNull() & (
+    near = both.filter(relevance(q, t, s).isNull() & (
         matching.coverage(q["tokens"], t["tokens"])
         >= matching.coverage_floor(s.min_match)))
     scored = near.select("query", "title", score(q, t, s).alias("match"),

@@ -189,3 +189,23 @@ def calibration(observed: DataFrame, closed: DataFrame) -> DataFrame:
     ).filter(F.col("bucket").isNotNull())
     return rank.upper_median(rows, ["bucket"], "ratio", "median_ratio"
                              ).filter(F.col("n") >= 5)
+
+
+def settlements(observed: DataFrame, closes: DataFrame, days: int = 10
+                ) -> DataFrame:
+    """First close of an item within `days` of its last known end: price
+    plus shipping, 0 stays unsold, NULL is unsettled.  One row per item goes
+    into the join, so it grows with the closes only."""
+    ends = observed.filter(F.col("end_s").isNotNull()).groupBy(
+        "item_id").agg(F.max("end_s").alias("end_s"),
+                       F.max("shipping").alias("shipping"))
+    joined = ends.join(closes.select("item_id", "closed_s", "seq",
+                                     "actual_price"), "item_id", "left")
+    inside = F.col("closed_s").between(F.col("end_s"),
+                                       F.col("end_s") + days * DAY)
+    first = joined.groupBy("item_id", "end_s", "shipping").agg(F.min_by(
+        F.when(inside, F.col("actual_price")),
+        F.when(inside, F.struct("closed_s", "seq"))).alias("actual_price"))
+    return first.select("item_id", "end_s", F.when(
+        F.col("actual_price") > 0, F.col("actual_price") + F.col("shipping")
+    ).otherwise(F.col("actual_price")).alias("settled_price"))

@@ -88,14 +88,16 @@ def in_dead_zone(s: Settings = DEFAULT) -> Column:
                       & (days >= start) & (days < end), F.lit(False))
 
 
-def with_relevance(listings: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def with_relevance(listings: DataFrame, s: Settings = DEFAULT,
+                   stored: DataFrame | None = None) -> DataFrame:
     """Add `reason` (NULL keeps the row).  Each distinct (query, title) is
     judged once; price and time rules follow per row."""
     pairs = listings.select("query", "title").distinct()
     bands = listings.select("query", "structured_target", "grade_min",
                             "grade_max").distinct()
-    parsed = identity.with_identity(pairs, "title", "t", TARGET_FIELDS).join(
-        identity.with_identity(bands, "query", "q", TARGET_FIELDS), "query")
+    parsed = identity.attach(
+        pairs, "title", "t", TARGET_FIELDS, stored).join(identity.attach(
+            bands, "query", "q", TARGET_FIELDS, stored), "query")
     q, t = F.col("q"), F.col("t")
     strict = parsed.select(
         "query", "title",

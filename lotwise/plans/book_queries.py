@@ -273,6 +273,35 @@ def awaiting_close(spark, sf_dir):
                             1704240000)
 
 
+@query("settlements", "R4", f"""{ctes('observations', 'closes')}, e AS (SELECT
+ item_id, max(end_s) AS end_s, max(shipping) AS shipping FROM observations
+ WHERE observed_s < 1705276800 GROUP BY 1), j AS (SELECT e.*, c.closed_s, c.seq,
+ c.actual_price FROM e LEFT JOIN closes c ON c.item_id = e.item_id AND
+ c.closed_s BETWEEN e.end_s AND e.end_s + 864000), f AS (SELECT item_id, end_s,
+ shipping, arg_min(actual_price, (closed_s, seq)) FILTER (WHERE closed_s IS NOT
+ NULL) AS a FROM j GROUP BY ALL)
+SELECT item_id, end_s, CASE WHEN a > 0 THEN a + shipping ELSE a END AS
+ settled_price FROM f""")
+def settlements(spark, sf_dir):
+    """Snapshots up to mid-month, so that closes can follow."""
+    seen = view(spark, sf_dir, "observations").filter(
+        F.col("observed_s") < 1705276800)
+    return history.settlements(seen, view(spark, sf_dir, "closes"))
+
+
+@query("close_model_error", "M3 M4")
+def close_model_error(spark, sf_dir):
+    """Cross-validated error by auction, and whether the model may run."""
+    kept = snapshots(spark, sf_dir).filter(F.col("reason").isNull())
+    params = history.settle_params(history.per_item(kept)).filter(
+        F.col("band") == "all").first()
+    error = close_model.grouped_error(kept, folds=3, trees=5)
+    use, why = close_model.deploys(params["n"], error, params["mae"])
+    return spark.range(1).select(
+        F.lit(params["n"]).alias("items"), F.lit(error).alias("cv_error"),
+        F.lit(use).alias("deployed"), F.lit(why).alias("reason"))
+
+
 @query("matched_closes", "J9", f"""{ctes('observations', 'closes', 'closed')}
 SELECT item_id, seq, actual_price FROM closes c WHERE EXISTS (SELECT 1 FROM
  observations o WHERE o.item_id = c.item_id AND o.site = 'ebay') AND NOT

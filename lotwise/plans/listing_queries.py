@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import economics, guide_price, identity, text
+from ..functions.stage import stage
 from ..operators import dedupe, relevance
 from ..sources.adapters import AS_OF, at, ctes, view
 from .. import vocab
@@ -375,10 +376,10 @@ def guide_monotone(spark, sf_dir):
     curve = F.array(*[F.struct(F.lit(g).alias("grade"),
                                guide_price.price_cents(F.lit(g)).alias("c"))
                       for g in grades_])
-    rows = view(spark, sf_dir, "catalogue").select(
+    rows = stage(view(spark, sf_dir, "catalogue"), curve=curve).select(
         "product_id", F.explode(F.zip_with(
-            F.slice(curve, 1, len(grades_) - 1),
-            F.slice(curve, 2, len(grades_) - 1),
+            F.slice("curve", 1, len(grades_) - 1),
+            F.slice("curve", 2, len(grades_) - 1),
             lambda a, b: F.struct(b["grade"].alias("grade"),
                                   a["c"].alias("before"),
                                   b["c"].alias("cents")))).alias("p"))

@@ -229,3 +229,25 @@ def test_payloads(spark):
     lot = feeds.live_lots(lots).collect()
     assert len(lot) == 1 and lot[0]["shipping"] == 6.0
     assert lot[0]["minimum_buyer_fee"] == 19.0
+
+
+def test_sql_functions_agree(spark):
+    from lotwise.functions import sqlfunctions
+    assert "match_band" in sqlfunctions.register(spark)
+    row = spark.sql("SELECT effective_grade('cgc', 10D) AS e, match_band(0.7D)"
+                    " AS b, buyer_fee(10D, 0.22D, 19D) AS f, "
+                    "fold_accents('Pok\u00e9mon') AS p").first()
+    assert tuple(row) == (9.0, "strong", 19.0, "Pokemon")
+
+
+def test_sinks(spark):
+    import tempfile
+    from lotwise.sources import sinks
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    df = spark.createDataFrame([("a", ["x", "y"])], "k string, t array<string>")
+    for day in ("2024-01-01", "2024-01-02", "2024-01-02"):
+        sinks.append_run(df, folder + "/h", day)
+    assert sinks.read_history(spark, folder + "/h").count() == 2
+    sinks.write_csv(df, folder + "/c")
+    assert spark.read.option("header", True).csv(folder + "/c").first()[
+        "t"] == "x; y"
