@@ -252,10 +252,13 @@ def _struct(ddl: str) -> str:
                   " ".join(ddl.split()))
 
 
+# ---------------------------------------------------------------- fixed values
+# Words of single cards, and of lots that are not single cards.
 SINGLE = (r"(?i)\b(card|topps|bowman|fleer|panini|pokemon|upper deck|donruss|"
           r"prizm|psa|bgs|sgc)\b")
 NOT_SINGLE = (r"(?i)\b(box|case|pack|wax|jersey|helmet|shoe|bat|ball|puck|"
               r"ticket|memorabilia|game-used|game used|watch|poster|print)\b")
+# ------------------------------------------------------------ end fixed values
 
 
 def live_lots(lots: DataFrame, minimum_fee: float = 19.0,
