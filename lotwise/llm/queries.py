@@ -1,5 +1,5 @@
 """Imports every operator module, so that all queries are registered."""
-from . import exact_dedup, packing, sharding, substring_dedup  # noqa: F401
+from . import exact_dedup, near_dedup, packing, sharding, substring_dedup  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
