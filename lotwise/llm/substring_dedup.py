@@ -215,9 +215,12 @@ def repeated_passages(docs: DataFrame, size: int = SIZE) -> DataFrame:
     rows = stored(rows.join(leaders, "digest", "left"), "led")
     single = rows.filter("doc_id = leader")
     minis = single.select("doc_id", "tag", F.explode("minis").alias("mini"))
-    repeated = (minis.groupBy("mini")
-                .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-                .filter("a < b").select("mini"))
+    # aggregates are stored before they are joined: a join of two plain
+    # exchanges is one whose hot partitions Spark splits
+    repeated = stored(minis.groupBy("mini")
+                      .agg(F.min("doc_id").alias("a"),
+                           F.max("doc_id").alias("b"))
+                      .filter("a < b").select("mini"), "minis")
     listed = (minis.join(repeated, "mini").groupBy("doc_id", "tag")
               .agg(F.collect_set("mini").alias("repeated")))
     # whole texts move once; only those with a repeated minimiser go on
@@ -226,9 +229,10 @@ def repeated_passages(docs: DataFrame, size: int = SIZE) -> DataFrame:
     found = stored(with_tag(found.select("doc_id", "tag", "repeated", "text")),
                    "found")
     windows = candidate_windows(found, size)
-    firsts = (windows.groupBy("h1", "h2")
-              .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-              .filter("a < b").select("h1", "h2", F.col("a").alias("first")))
+    firsts = stored(windows.groupBy("h1", "h2")
+                    .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                    .filter("a < b")
+                    .select("h1", "h2", F.col("a").alias("first")), "firsts")
     starts = (windows.join(firsts, ["h1", "h2"]).filter("doc_id > first")
               .groupBy("doc_id", "tag")
               .agg(F.collect_set("pos").alias("starts")))
