@@ -23,15 +23,18 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import CACHE, byte_texts, in_batches, ragged
+from .common import in_batches, ragged, texts
 from .registry import query, table
 
 WINDOW = 4096
@@ -39,8 +42,10 @@ WINDOW = 4096
 PIECE = 1024
 #: Windows that are balanced together.
 GROUP = 256
-SEGMENT = 1 << 20
-CHUNK_WORDS = 100_000
+#: Bytes of text that are encoded together.
+SEGMENT = 8 << 20
+#: Words that a worker remembers.
+WORDS = 1_000_000
 COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(),
            "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
            "sequence_id": pa.int64(), "offset": pa.int64()}
@@ -48,12 +53,18 @@ SCHEMA = ", ".join(f"{c} long" for c in COLUMNS)
 
 
 class WordIds:
-    """Token ids of words, encoding each word once while it is remembered.
+    """Token ids of words, encoding each part of a word once while remembered.
 
     White space never lies inside a token of a word-level vocabulary, so the
-    ids of a text are those of its words in turn.
+    ids of a text are those of its words in turn; and the tokenizer cuts words
+    into letters, digits and signs before it merges, so those of a word are
+    those of its parts.
     """
 
+    #: The tokenizer's own cut of lower-case ASCII words (fixed value).
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    TAIL = re.compile(r"[!-/:-@\[-`{-~]+$")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -61,16 +72,31 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def learn(self, words: list[bytes]) -> None:
-        found = self.model.encode_batch([w.decode() for w in words],
-                                        add_special_tokens=False)
-        ids = [x.ids for x in found]
+    def cut(self, word: str) -> list[str]:
+        if "<|" in word:            # may be a special token
+            return [word]
+        if word.isascii():
+            return self.PARTS.findall(word.lower())
+        tail = self.TAIL.search(word)
+        if tail and word[tail.start() - 1:tail.start()].isalpha():
+            return [word[:tail.start()], tail[0]]
+        return [word]
+
+    def learn(self, words: list[str]) -> None:
+        cuts = [self.cut(w) for w in words]
+        new = list(set(chain.from_iterable(cuts)).difference(self.parts))
+        self.parts.update(zip(new, (x.ids for x in self.model.encode_batch_fast(
+            new, add_special_tokens=False)), strict=True))
+        get = self.parts.__getitem__
+        ids = [list(chain.from_iterable(map(get, c))) if len(c) > 1
+               else get(c[0]) if c else [] for c in cuts]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         n, total = len(self.number), int(lengths.sum())
         for name, need in (("flat", self.used + total),
@@ -87,61 +113,66 @@ class WordIds:
         self.used += total
         self.number.update(zip(words, range(n, n + len(ids)), strict=True))
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each word has."""
-        if len(self.number) >= CACHE:
+    def of(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and where each text's ids end."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        get = self.number.get
+        new = [w for w in words if get(w) is None]
+        if len(self.number) + len(new) > WORDS:
             self.forget()
-        new = set(words).difference(self.number)
+            new = words
         if new:
-            self.learn(list(new))
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64,
-                         len(words))
+            self.learn(new)
+        number = np.fromiter(map(self.number.__getitem__, words), np.int64,
+                             len(words))
+        at = number[coded.indices.to_numpy()]
         lengths = self.lengths[at]
-        return self.flat[ragged(self.starts[at], lengths)], lengths
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        return (self.flat[ragged(self.starts[at], lengths)],
+                sums[np.cumsum(counts)])
+
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One per worker process: words stay known from task to task."""
+    return WordIds(path)
 
-def segments(text: bytes, size: int = SEGMENT):
+
+def segments(text: str, size: int = SEGMENT):
     """A long text in stretches that end at white space."""
-    if len(text) <= size:
-        yield text
-        return
     at = 0
     while at < len(text):
-        end = min(len(text), at + size)
-        while end < len(text) and text[end] not in b" \t\n\v\f\r":
-            end += 1
+        space = re.compile(r"[ \t\n\v\f\r]").search(text, at + size)
+        end = space.start() if space else len(text)
         yield text[at:end]
         at = end
 
 
-def encoded(rows, coder: WordIds, closing: int):
-    """(doc_id, ids with the closing id) of each (doc_id, text)."""
-    def flush(held):
-        words = list(chain.from_iterable(w for _, w in held))
-        ids, lengths = coder.of(words)
-        ends = np.cumsum(lengths) if len(words) else np.zeros(0, np.int64)
-        a = n = 0
-        for doc_id, w in held:
-            n += len(w)
-            b = int(ends[n - 1]) if n else 0
-            yield doc_id, np.append(ids[a:b], np.uint32(closing))
-            a = b
-
-    held, count = [], 0
-    for doc_id, text in rows:
-        if len(text) > SEGMENT:
-            yield from flush(held)
-            held, count = [], 0
-            parts = [coder.of(s.split())[0] for s in segments(text)]
-            yield doc_id, np.append(np.concatenate(parts), np.uint32(closing))
+def encoded(batch: pa.RecordBatch, coder: WordIds, closing: int):
+    """(doc_id, ids with the closing id) of each row (doc_id, text)."""
+    texts = batch.column(1)
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    doc_ids = batch.column(0).to_pylist()
+    last = np.uint32(closing)
+    at = 0
+    while at < len(sizes):
+        if sizes[at] > SEGMENT:
+            parts = [coder.of(pa.array([s]))[0]
+                     for s in segments(texts[at].as_py())]
+            yield doc_ids[at], np.append(np.concatenate(parts), last)
+            at += 1
             continue
-        words = text.split()
-        held.append((doc_id, words))
-        count += len(words)
-        if count >= CHUNK_WORDS:
-            yield from flush(held)
-            held, count = [], 0
-    yield from flush(held)
+        sums = np.cumsum(sizes[at:at + 5000])
+        n = max(1, int(np.searchsorted(sums, SEGMENT, "right")))
+        ids, ends = coder.of(texts.slice(at, n))
+        start = 0
+        for doc_id, end in zip(doc_ids[at:at + n], ends.tolist(), strict=True):
+            yield doc_id, np.append(ids[start:end], last)
+            start = end
+        at += n
 
 
 def differencing(sizes: np.ndarray, m: int) -> tuple[int, np.ndarray]:
@@ -195,7 +226,7 @@ def pack(docs: DataFrame, tokenizer: str, closing: int = 2,
          group: int = GROUP) -> DataFrame:
     """One row per piece, see COLUMNS; tokenizer: a file of `tokenizers`."""
     def part(batches):
-        coder = WordIds(tokenizer)
+        coder = word_ids(tokenizer)
         number = TaskContext.get().partitionId() << 40
         out = {c: [] for c in COLUMNS}
         rest: list[tuple] = []
@@ -218,9 +249,7 @@ def pack(docs: DataFrame, tokenizer: str, closing: int = 2,
             rest, waiting = [], 0
 
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(),
-                       (x.as_py() for x in batch.column(1)), strict=True)
-            for doc_id, ids in encoded(rows, coder, closing):
+            for doc_id, ids in encoded(batch, coder, closing):
                 n, at = len(ids), 0
                 raw = memoryview(ids.astype("<u4").tobytes())
                 while at < n:
@@ -245,7 +274,7 @@ def pack(docs: DataFrame, tokenizer: str, closing: int = 2,
             settle()
         yield in_batches(out, COLUMNS)
 
-    return byte_texts(docs).mapInArrow(part, SCHEMA)
+    return texts(docs).mapInArrow(part, SCHEMA)
 
 
 @query("op1_packing")
