@@ -276,12 +276,14 @@ def near_groups(docs: DataFrame, percent: int = 85, bands: int = BANDS,
     nodes = (base.filter("doc_id = id").select("id", "n", "sketch", "keys")
              .dropDuplicates(["id", "n", "sketch"]))
     member = nodes.select("id", F.explode("keys").alias("key"))
-    sizes = (member.groupBy("key").agg(F.count("*").alias("size"))
-             .filter("size > 1"))
+    # aggregates are stored before they are joined: a join of two plain
+    # exchanges is one whose hot partitions Spark splits
+    sizes = stored(member.groupBy("key").agg(F.count("*").alias("size"))
+                   .filter("size > 1"), "sizes")
     member = stored(member.join(sizes, "key"), "members")
     company = member.groupBy("id").agg(F.sum("size").alias("company"))
-    hubs = member.join(company, "id").groupBy("key").agg(
-        F.max_by("id", F.struct("company", -F.col("id"))).alias("b"))
+    hubs = stored(member.join(company, "id").groupBy("key").agg(
+        F.max_by("id", F.struct("company", -F.col("id"))).alias("b")), "hubs")
     pairs = (member.join(hubs, "key").select(F.col("id").alias("a"), "b")
              .filter("a <> b").distinct())
     involved = company.select("id")
@@ -296,9 +298,9 @@ def near_groups(docs: DataFrame, percent: int = 85, bands: int = BANDS,
 
     rest = (member.join(label, "id", "left").withColumn(
         "component", F.coalesce("component", "id")))
-    mixed_keys = (rest.groupBy("key").agg(
+    mixed_keys = stored(rest.groupBy("key").agg(
         F.min("component").alias("x"), F.max("component").alias("y"))
-        .filter("x < y").select("key"))
+        .filter("x < y").select("key"), "open")
     rest = rest.join(mixed_keys, "key").join(nodes, "id")
     more = block_pairs(rest, percent).join(tried.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
