@@ -1,5 +1,14 @@
 """Imports every operator module, so that all queries are registered."""
-from . import exact_dedup, near_dedup, packing, sharding, substring_dedup  # noqa: F401
+from . import (  # noqa: F401
+    exact_dedup,
+    near_dedup,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    substring_dedup,
+    url_filter,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
