@@ -13,9 +13,10 @@ both (merge), and equal registers mark similar sets.
    of their similarity from the registers (with 5 standard errors to spare),
    and are then confirmed on the full sets.
 4. Components of the confirmed links. In buckets that still hold two
-   components the remaining pairs (members of different components, in blocks
-   of BLOCK rows) are estimated and confirmed as well, so no link that
-   changes a component is left out for the sake of a large bucket.
+   components, members of different components are compared as well, in
+   blocks of BLOCK rows: estimated, then confirmed on the full sets inside
+   the task, which returns links only. No link that changes a component is
+   left out for the sake of a large bucket, and no list of pairs is made.
 
 A pair at the threshold shares no band with probability
 (1 - t ** rows) ** bands: 2e-8 for the defaults at 0.85.
@@ -44,7 +45,7 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 #: Base of the register scale, rate of the exponentials, largest register - 1.
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
-BLOCK = 512
+BLOCK = 256
 ERRORS = 5.0
 
 
@@ -196,13 +197,7 @@ def confirmed(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                     last = b, text
                     held = shingles(text.lower().split(), hashes)
                 other = shingles(x.as_py().lower().split(), hashes)
-                if not len(held) or not len(other):
-                    ok.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(held, other), len(held) - 1)
-                shared = int((held[at] == other).sum())
-                union = len(held) + len(other) - shared
-                ok.append(100 * shared >= percent * union)
+                ok.append(alike(held, other, percent))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     side = lambda c: found.select(F.col("id").alias(c),     # noqa: E731
@@ -212,58 +207,123 @@ def confirmed(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         part, "a long, b long").distinct())
 
 
-def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, that share a bucket but no component and may
-    reach the threshold. rows: key, id, component, size of the bucket, n,
-    sketch. A bucket of any size is compared in blocks of about BLOCK rows."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = (rows.withColumn("blocks", blocks)
+def blocked(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket dealt into blocks of about BLOCK rows; each pair of
+    blocks (i, j) holds the rows of both."""
+    return (rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK)
+                            .cast("int"))
             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))
                         .cast("int"))
             .withColumn("other", F.explode(F.sequence(
                 F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("own", "other").alias("i"),
-                    F.greatest("own", "other").alias("j"),
-                    (F.col("own") > F.col("other")).alias("second"), "id",
-                    "component", "n", "sketch"))
-
-    def part(batches):
-        for t in runs(batches, ["key", "i", "j"]):
-            key, i, j = (t[c].to_numpy() for c in ("key", "i", "j"))
-            id_, comp, n = (t[c].to_numpy() for c in ("id", "component", "n"))
-            second = t["second"].to_numpy()
-            sketch = matrix(t["sketch"].combine_chunks())
-            new = np.ones(len(key), bool)
-            new[1:] = ((key[1:] != key[:-1]) | (i[1:] != i[:-1])
-                       | (j[1:] != j[:-1]))
-            first = np.flatnonzero(new)
-            end = np.append(first[1:], len(key))
-            # each row meets the rows after it in its group, a slice at a time
-            group_end = np.repeat(end, end - first)
-            later = group_end - np.arange(len(key)) - 1
-            at = 0
-            sums = np.cumsum(later)
-            while at < len(key):
-                stop = int(np.searchsorted(
-                    sums, (sums[at - 1] if at else 0) + 100_000)) + 1
-                stop = min(stop, len(key))
-                x = np.repeat(np.arange(at, stop), later[at:stop])
-                base = np.cumsum(later[at:stop]) - later[at:stop]
-                y = x + 1 + np.arange(len(x)) - np.repeat(base, later[at:stop])
-                at = stop
-                keep = comp[x] != comp[y]
-                # two blocks meet across only; inside a block it meets itself
-                keep &= (i[x] == j[x]) | (second[x] != second[y])
-                x, y = x[keep], y[keep]
-                ok = promising(sketch[x], sketch[y], n[x], n[y], percent)
-                x, y = id_[x[ok]], id_[y[ok]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))],
-                    names=["a", "b"])
-
-    return (rows.repartition("key", "i", "j")
-            .sortWithinPartitions("key", "i", "j")
-            .mapInArrow(part, "a long, b long").distinct())
+            .withColumn("i", F.least("own", "other"))
+            .withColumn("j", F.greatest("own", "other"))
+            .withColumn("second", F.col("own") > F.col("other"))
+            .drop("blocks", "own", "other", "size"))
+
+
+def open_pairs(t: pa.Table, percent: int, bands: int):
+    """Row numbers (x, y) of the pairs of a sorted table of blocks that may
+    link two components, a slice at a time. A pair counts in the first band
+    that it shares, so in one bucket only."""
+    key, i, j = (t[c].to_numpy() for c in ("key", "i", "j"))
+    comp, n, band = (t[c].to_numpy() for c in ("component", "n", "band"))
+    second = t["second"].to_numpy()
+    sketch = matrix(t["sketch"].combine_chunks())
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    first = np.flatnonzero(new)
+    end = np.append(first[1:], len(key))
+    # each row meets the rows after it in its group
+    later = np.repeat(end, end - first) - np.arange(len(key)) - 1
+    sums = np.cumsum(later)
+    at = 0
+    while at < len(key):
+        stop = int(np.searchsorted(sums, (sums[at - 1] if at else 0)
+                                   + 100_000)) + 1
+        stop = min(stop, len(key))
+        some = later[at:stop]
+        x = np.repeat(np.arange(at, stop), some)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some)
+        at = stop
+        # two blocks meet across only; a block alone meets itself
+        keep = (comp[x] != comp[y]) & ((i[x] == j[x])
+                                       | (second[x] != second[y]))
+        x, y = x[keep], y[keep]
+        same = (sketch[x] == sketch[y]).reshape(len(x), bands, -1).all(2)
+        keep = same.argmax(1) == band[x]
+        x, y = x[keep], y[keep]
+        ok = promising(sketch[x], sketch[y], n[x], n[y], percent)
+        yield x[ok], y[ok]
+
+
+def block_links(rows: DataFrame, found: DataFrame, percent: int, bands: int
+                ) -> DataFrame:
+    """Confirmed links (a, b) between components that share a bucket.
+
+    rows: key, band, id, component, size of the bucket, n, sketch. Rows that
+    no estimate speaks for leave first; the others are compared on their full
+    sets inside their block, where pairs that other links already connect are
+    passed over. A block returns fewer links than it has rows, whatever
+    number of pairs it had to look at.
+    """
+    place = ["key", "i", "j"]
+    names = [*place, "band", "second", "id", "component", "n", "sketch"]
+
+    def involved(batches):
+        for t in runs(batches, place):
+            used = np.zeros(t.num_rows, bool)
+            for x, y in open_pairs(t, percent, bands):
+                used[x] = used[y] = True
+            yield from t.filter(pa.array(used)).to_batches()
+
+    def links(batches):
+        hashes = WordHashes()
+        for t in runs(batches, place):
+            ids, comp = t["id"].to_numpy(), t["component"].to_numpy()
+            key, i, j = (t[c].to_numpy() for c in place)
+            sets, out = {}, []
+            parent: dict[tuple, tuple] = {}
+
+            def root(node, parent=parent):
+                while parent.setdefault(node, node) != node:
+                    parent[node] = parent[parent[node]]
+                    node = parent[node]
+                return node
+
+            def shingled(r, sets=sets, t=t):
+                if r not in sets:
+                    sets[r] = shingles(t["text"][r].as_py().lower().split(),
+                                       hashes)
+                return sets[r]
+
+            for xs, ys in open_pairs(t, percent, bands):
+                for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                    block = (key[x], i[x], j[x])
+                    u, v = root((*block, comp[x])), root((*block, comp[y]))
+                    if u != v and alike(shingled(x), shingled(y), percent):
+                        parent[u] = v
+                        out.append((int(ids[x]), int(ids[y])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in out], pa.int64()),
+                 pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    def sorted_blocks(df):
+        return df.repartition(*place).sortWithinPartitions(*place)
+
+    kept = blocked(rows).select(*names)
+    kept = sorted_blocks(kept).mapInArrow(involved, kept.schema)
+    whole = kept.join(found, "id").select(*names, "text")
+    return sorted_blocks(whole).mapInArrow(links, "a long, b long").distinct()
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |x and y| >= percent * |x or y|; sorted distinct x, y."""
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    shared = int((x[at] == y).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def near_groups(docs: DataFrame, percent: int = 85, bands: int = BANDS,
@@ -271,11 +331,12 @@ def near_groups(docs: DataFrame, percent: int = 85, bands: int = BANDS,
     """doc_id, n_shingles, component_id, kept; one row per input row."""
     base = stored(sketched(docs, bands, rows), "sketches")
     usable = base.filter("doc_id IS NOT NULL AND n > 0")
-    nodes = usable.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    nodes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("id")),
+                   "heads")
     base = stored(base.join(nodes, "digest", "left"), "sets")
     nodes = (base.filter("doc_id = id").select("id", "n", "sketch", "keys")
              .dropDuplicates(["id", "n", "sketch"]))
-    member = nodes.select("id", F.explode("keys").alias("key"))
+    member = nodes.select("id", F.posexplode("keys").alias("band", "key"))
     # aggregates are stored before they are joined: a join of two plain
     # exchanges is one whose hot partitions Spark splits
     sizes = stored(member.groupBy("key").agg(F.count("*").alias("size"))
@@ -291,8 +352,8 @@ def near_groups(docs: DataFrame, percent: int = 85, bands: int = BANDS,
         involved, "id", "left_semi"), "nodes")
     found = stored(byte_texts(docs).withColumnRenamed("doc_id", "id").join(
         involved, "id", "left_semi"), "candidates")
-    tried = stored(estimated(pairs, nodes, percent), "tried")
-    links = stored(confirmed(tried, found, percent), "links")
+    links = stored(confirmed(estimated(pairs, nodes, percent), found, percent),
+                   "links")
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = stored(components(edges), "labels")
 
@@ -302,10 +363,7 @@ def near_groups(docs: DataFrame, percent: int = 85, bands: int = BANDS,
         F.min("component").alias("x"), F.max("component").alias("y"))
         .filter("x < y").select("key"), "open")
     rest = rest.join(mixed_keys, "key").join(nodes, "id")
-    more = block_pairs(rest, percent).join(tried.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct(), ["a", "b"], "left_anti")
-    more = stored(confirmed(more, found, percent), "links")
+    more = stored(block_links(rest, found, percent, bands), "links")
     label = components(edges.unionByName(more.select(
         F.col("a").alias("u"), F.col("b").alias("v"))))
     # equal sets follow their representative
