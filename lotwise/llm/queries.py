@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     secret_scan,
     sharding,
     substring_dedup,
+    topk_search,
     url_filter,
 )
 from .registry import ORACLES, QUERIES
