@@ -3,6 +3,7 @@ from . import (  # noqa: F401
     exact_dedup,
     near_dedup,
     packing,
+    pieces,
     quality,
     secret_scan,
     sharding,
