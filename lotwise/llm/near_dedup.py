@@ -250,7 +250,8 @@ def open_pairs(t: pa.Table, percent: int, bands: int):
         keep = (comp[x] != comp[y]) & ((i[x] == j[x])
                                        | (second[x] != second[y]))
         x, y = x[keep], y[keep]
-        same = (sketch[x] == sketch[y]).reshape(len(x), bands, -1).all(2)
+        same = (sketch[x] == sketch[y]).reshape(
+            len(x), bands, sketch.shape[1] // bands).all(2)
         keep = same.argmax(1) == band[x]
         x, y = x[keep], y[keep]
         ok = promising(sketch[x], sketch[y], n[x], n[y], percent)
