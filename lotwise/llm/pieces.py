@@ -32,11 +32,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +47,9 @@ from .registry import query, table
 from .substring_dedup import BASES, powers
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
+CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 #: Distinct chunks that a worker remembers, and characters per batch.
-REMEMBERED, BATCH_CHARS = 600_000, 4_000_000
+REMEMBERED, BATCH_CHARS = 500_000, 4_000_000
 BREAK = -1
 
 
@@ -153,7 +155,25 @@ class Vocabulary:
             assert MARK not in body and "\n" not in body, self.text[i]
         # ranks are whole numbers below zero, log-likelihoods are not
         self.merges = None
+        self.runs: set[int] = set()
         if (scores == np.floor(scores)).all():
+            # runs of marks of one common, last rank: see joined_marks()
+            tied = Counter(scores.tolist())
+            self.runs = {len(self.text[i]) for i, s in zip(
+                plain, scores, strict=True)
+                if tied[s] > 1 and len(self.text[i]) > 1}
+            loose = [i for i, s in zip(plain, scores, strict=True)
+                     if tied[s] > 1 and (self.text[i].strip(MARK)
+                                         or s > scores.min())]
+            if loose:
+                raise ValueError(f"pieces of equal rank: {loose[:5]}")
+            keep = np.array([tied[s] == 1 or len(self.text[i]) == 1
+                             for i, s in zip(plain, scores, strict=True)])
+            self.run_ids = {len(self.text[i]): i for i, k in zip(
+                plain, keep, strict=True) if not k}
+            plain = [i for i, k in zip(plain, keep, strict=True) if k]
+            scores = scores[keep]
+            self.run_ids[1] = self.text.index(MARK)
             rank = np.unique(-scores, return_inverse=True)[1]
             self.merges = Merges([self.text[i] for i in plain], rank.tolist())
         self.plain = np.array(plain)
@@ -165,10 +185,14 @@ class Vocabulary:
         for size, some in sorted(by.items()):
             codes = np.array([[ord(c) for c in self.text[plain[a]]]
                               for a in some])
-            keys = substrings(codes, size)[:, 0]
+            keys = substrings(codes, size)[0][:, 0]
             order = np.argsort(keys)
             self.tables[size] = (keys[order], scores[some][order],
                                  np.array(some)[order])
+        self.spell_len = np.array([len(self.text[i]) for i in plain])
+        self.spell_at = np.cumsum(self.spell_len) - self.spell_len
+        self.spell = np.frombuffer("".join(
+            self.text[i] for i in plain).encode("utf-32-le"), np.uint32)
         raw = [t.encode() for t in self.text]
         for value, i in enumerate(self.byte):
             if i >= 0:
@@ -180,21 +204,69 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-
-    def segment(self, chunks: list[str]) -> None:
-        """Remembers the ids of chunks, equal lengths together."""
-        by: dict[int, list[str]] = {}
-        for c in chunks:
-            by.setdefault(len(c), []).append(c)
-        for size, some in by.items():
-            step = max(1, 2_000_000 // max(1, size * 8))
-            for at in range(0, len(some), step):
-                part = some[at:at + step]
-                for c, ids in zip(part, self.viterbi(part, size), strict=True):
-                    self.known[c] = ids
-
-    def viterbi(self, chunks: list[str], size: int) -> list[np.ndarray]:
+        self.number: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.lengths = np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def learn(self, keys: list[str]) -> None:
+        """Remembers the ids of keys: a word stands for itself behind a mark,
+        a line break is followed by what it stands before, and what starts
+        with marks is as it is."""
+        line = [k for k in keys if k[:1] == "\n"]
+        rest = [k for k in keys if k[:1] != "\n"]
+        self.keep(rest, *self.segment([k if k[:1] == MARK else MARK + k
+                                       for k in rest]))
+        if line:
+            flat, lengths = self.segment([k[1:] for k in line])
+            ends = np.cumsum(lengths)
+            self.keep(line, np.insert(flat, ends - lengths, self.byte[10]),
+                      lengths + 1)
+
+    def keep(self, keys: list[str], flat: np.ndarray, lengths: np.ndarray
+             ) -> None:
+        n, total = len(self.number), len(flat)
+        for name, need in (("flat", self.used + total),
+                           ("starts", n + len(keys)),
+                           ("lengths", n + len(keys))):
+            old = getattr(self, name)
+            if need > len(old):
+                setattr(self, name, np.concatenate(
+                    [old, np.zeros(max(need, len(old)), old.dtype)]))
+        self.flat[self.used:self.used + total] = flat
+        self.lengths[n:n + len(keys)] = lengths
+        self.starts[n:n + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.used += total
+        self.number.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of chunks, and how many each has; equal lengths go
+        through the search together."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(sizes, kind="stable")
+        flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(order):
+            size = int(sizes[order[at]])
+            end = int(np.searchsorted(sizes[order], size, "right"))
+            end = min(end, at + max(1, 250_000 // max(1, size)))
+            ids, n = (self.viterbi([chunks[i] for i in order[at:end].tolist()],
+                                   size) if size
+                      else (np.zeros(0, np.int32), np.zeros(end - at, np.int64)))
+            flat.append(ids)
+            lengths.append(n)
+            at = end
+        flat, lengths = np.concatenate(flat), np.concatenate(lengths)
+        starts = np.empty_like(lengths)
+        starts[order] = np.cumsum(lengths) - lengths
+        back = np.empty_like(lengths)
+        back[order] = lengths
+        return flat[ragged(starts, back)], back
+
+    def viterbi(self, chunks: list[str], size: int
+                ) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of chunks of one length, and how many each has."""
         n = len(chunks)
         codes = np.frombuffer("".join(chunks).encode("utf-32-le"),
                               np.uint32).reshape(n, size)
@@ -203,14 +275,15 @@ class Vocabulary:
         start = np.zeros((size + 1, n), np.int32)
         piece = np.full((size + 1, n), BREAK, np.int32)
         lengths = sorted((s for s in self.tables if s <= size), reverse=True)
-        keys = {s: substrings(codes, s) for s in lengths}
+        keys = {s: k.T.copy() for s, k in zip(
+            lengths, substrings(codes, *lengths), strict=True)}
         for end in range(1, size + 1):
             single = np.zeros(n, bool)
             for s in lengths:
                 if s > end:
                     continue
                 table_keys, scores, ids = self.tables[s]
-                key = keys[s][:, end - s]
+                key = keys[s][end - s]
                 at = np.minimum(np.searchsorted(table_keys, key),
                                 len(table_keys) - 1)
                 hit = table_keys[at] == key
@@ -218,6 +291,8 @@ class Vocabulary:
                     single = hit
                 hit = np.flatnonzero(hit)
                 if self.merges:
+                    # one sequence only: a prefix that has its end is done
+                    hit = hit[best[end][hit] == -np.inf]
                     hit = hit[self.merges.allowed(piece[end - s][hit],
                                                   ids[at[hit]])]
                 total = best[end - s][hit] + scores[at[hit]]
@@ -240,40 +315,96 @@ class Vocabulary:
             where = np.where(where > 0, start[where, rows], 0)
         path = np.stack([h for h, _ in steps][::-1], 1)
         froms = np.stack([f for _, f in steps][::-1], 1)
-        out = []
-        for c, row, at in zip(chunks, path, froms, strict=True):
-            used = row >= BREAK
-            ids = np.where(row[used] >= 0, self.plain[row[used]], BREAK)
-            if (ids == BREAK).any():
-                ids = np.array(list(chain.from_iterable(
-                    [i] if i >= 0 else self.byte[list(c[a].encode())].tolist()
-                    for i, a in zip(ids.tolist(), at[used].tolist(),
-                                    strict=True))), np.int32)
-            if b"".join([self.raw[i] for i in ids.tolist()]) != c.encode():
-                raise ValueError(f"segments of {c!r} don't give it back")
-            out.append(ids.astype(np.int32))
-        return out
-
-    def encode(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        used = path >= BREAK
+        counts = used.sum(1)
+        flat, froms = path[used], froms[used]
+        owner = np.repeat(rows, counts)
+        found = flat >= 0
+        # what the pieces spell has to be what stands in the chunk
+        held = flat[found]
+        spell = ragged(self.spell_at[held], self.spell_len[held])
+        there = ragged(owner[found] * size + froms[found],
+                       self.spell_len[held])
+        if (self.spell[spell] != codes.ravel()[there]).any():
+            raise ValueError("pieces don't spell their text")
+        ids = np.where(found, self.plain[flat], BREAK).astype(np.int32)
+        special = np.zeros(n, bool)
+        special[owner[~found]] = True
+        if self.runs and size > 1:
+            special |= (codes[:, 0] == ord(MARK)) & (codes[:, 1] == ord(MARK))
+        if special.any():
+            ends = np.cumsum(counts)
+            parts = []
+            for r in range(n):
+                some = ids[ends[r] - counts[r]:ends[r]]
+                if special[r]:
+                    some = self.completed(some, chunks[r],
+                                          froms[ends[r] - counts[r]:ends[r]])
+                parts.append(some)
+            counts = np.fromiter(map(len, parts), np.int64, n)
+            ids = np.concatenate(parts)
+        return ids, counts
+
+    def completed(self, ids: np.ndarray, chunk: str, froms: np.ndarray
+                  ) -> np.ndarray:
+        """Bytes for characters without a piece, and runs of marks joined."""
+        if (ids == BREAK).any():
+            ids = np.array(list(chain.from_iterable(
+                [i] if i >= 0 else self.byte[list(chunk[a].encode())].tolist()
+                for i, a in zip(ids.tolist(), froms.tolist(), strict=True))),
+                np.int32)
+        if self.runs and chunk.startswith(2 * MARK):
+            ids = self.joined_marks(ids)
+        return ids.astype(np.int32)
+
+    def joined_marks(self, ids: np.ndarray) -> np.ndarray:
+        """Leading single marks, joined from the left into runs.
+
+        All runs have one rank, below every other piece, so they join last
+        and the leftmost pair that makes a run always comes first.
+        """
+        marks = int((np.append(ids, -1) != self.run_ids[1]).argmax())
+        done: list[int] = []
+        for _ in range(marks):
+            done.append(1)
+            while len(done) > 1 and done[-1] + done[-2] in self.runs:
+                done[-2:] = [done[-1] + done[-2]]
+        return np.concatenate([np.array([self.run_ids[n] for n in done],
+                                        np.int64), ids[marks:]])
+
+    def encode(self, some: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, and how many each text has."""
-        cuts = [CHUNK.findall((MARK + t).replace(" ", MARK)) if t else []
-                for t in some]
-        number: dict[str, int] = {}
-        order = np.fromiter((number.setdefault(c, len(number))
-                             for c in chain.from_iterable(cuts)), np.int64)
-        new = [c for c in number if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        odd = pc.match_substring_regex(some, f"^$|^ | $|  | \n|{MARK}")
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(odd):
+            # white space that is not one space between words: cut here
+            whole = some.to_pylist()
+            lists = [t.replace("\n", " \n").split(" ") for t in whole]
+            for i in odd.tolist():
+                lists[i] = CHUNK.findall(
+                    (MARK + whole[i]).replace(" ", MARK)) if whole[i] else []
+            lists = pa.array(lists, pa.list_(pa.string()))
+        else:
+            lists = pc.split_pattern(
+                pc.replace_substring(some, "\n", " \n"), " ")
+        coded = lists.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        get = self.number.get
+        new = [k for k in keys if get(k) is None]
+        if len(self.number) + len(new) > REMEMBERED:
             self.forget()
-            new = list(number)
-        self.segment(new)
-        ids = [self.known[c] for c in number]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate([np.zeros(0, np.int32), *ids])
-        counts = np.concatenate([[0], np.cumsum(lengths[order])])
-        ends = np.cumsum([len(c) for c in cuts])
-        starts = (np.cumsum(lengths) - lengths)[order]
-        return (flat[ragged(starts, lengths[order])],
-                np.diff(np.concatenate([[0], counts[ends]])))
+            new = keys
+        if new:
+            self.learn(new)
+        number = np.fromiter(map(self.number.__getitem__, keys), np.int64,
+                             len(keys))
+        at = number[coded.indices.to_numpy()]
+        lengths = self.lengths[at]
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(
+            zero_copy_only=False))
+        return (self.flat[ragged(self.starts[at], lengths)],
+                np.diff(np.concatenate([[0], sums[ends]])))
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode(
@@ -281,14 +412,15 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
-def substrings(codes: np.ndarray, size: int) -> np.ndarray:
-    """Rabin-Karp hash of every substring of `size` characters, by row."""
+def substrings(codes: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """Rabin-Karp hash of every substring of each size, by row and start."""
     n, length = codes.shape
     up, down = powers(BASES[0], 1 << length.bit_length())
     sums = np.zeros((n, length + 1), np.uint64)
     np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * up[:length], 1,
               out=sums[:, 1:])
-    return mixed((sums[:, size:] - sums[:, :-size]) * down[:length - size + 1])
+    return [mixed((sums[:, s:] - sums[:, :-s]) * down[:length - s + 1])
+            for s in sizes]
 
 
 @cache
@@ -303,14 +435,14 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         words = vocabulary(model)
         for batch in batches:
             at = 0
-            sizes = np.fromiter((len(x.as_buffer()) for x in batch.column(1)),
-                                np.int64, batch.num_rows)
+            sizes = pc.binary_length(batch.column(1)).to_numpy(
+                zero_copy_only=False)
             while at < batch.num_rows:
                 n = max(1, int(np.searchsorted(np.cumsum(
                     sizes[at:at + 2000]), BATCH_CHARS, "right")))
                 some = batch.slice(at, n)
                 at += n
-                ids, counts = words.encode(some.column(1).to_pylist())
+                ids, counts = words.encode(some.column(1))
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 yield pa.RecordBatch.from_arrays(
                     [*some.columns, pa.ListArray.from_arrays(
