@@ -139,7 +139,7 @@ def best_of(pairs: DataFrame, packs: DataFrame, k: int, width: int
                 xids = xids[order]
                 found = products(q, x)
                 own = ids[:, None] == xids
-                found[own] = np.iinfo(np.int64).min
+                found[own] = np.iinfo(np.int64).min + 1     # last when negated
                 # equal scores stay in the order of ids
                 top = np.argsort(-found, axis=1, kind="stable")[:, :k]
                 row = np.repeat(np.arange(len(ids)), top.shape[1])
