@@ -31,7 +31,7 @@ from .registry import query, table
 
 TRAIN_ROWS = 12_000
 BUCKETS, RANK, BINS = 4096, 8, 12
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.01, 1e-5
+STEPS, BATCH, RATE, DECAY = 1200, 128, 0.01, 1e-5
 STATS = ("words", "length", "upper", "digit", "symbol", "other", "distinct",
          "top", "adjacent", "lines", "line_words", "edge", "n_chars")
 
@@ -125,7 +125,7 @@ def fit(found: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     step = 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = draw.permutation(len(found))
         for at in range(0, len(order), BATCH):
             some = order[at:at + BATCH]
