@@ -4,10 +4,10 @@ Rules are ``host/path`` prefixes; a rule fits its host and all subdomains if
 the url's path starts with the rule's, and the longest fitting rule decides.
 All other urls are judged by gradient-boosted trees on lexical features:
 lengths, depth, digit ratio, character entropy, parameter counts, and
-statistics of the host's suffixes. The trees are trained from labelled urls;
+statistics of the host's suffixes and the path's first segment. The trees are trained from labelled urls;
 the registered query labels by the rules, so the rows that rules decide teach
-the trees about those that none decides. Suffix statistics (smoothed block
-rates of the last one and two host labels) come from one half of the sample
+the trees about those that none decides. Those statistics (smoothed block
+rates of the last one and two host labels and of the segment) come from one half of the sample
 and the trees from the other, so no url counts towards its own statistic.
 
 The sample is bounded: TRAIN_ROWS expected rows, chosen by a hash of the url.
@@ -36,7 +36,8 @@ PRIOR = 20.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "host_length", "path_length", "labels", "label_length",
             "depth", "digits", "entropy", "parameters", "query_length",
-            "hyphens", "fragment", "suffix1", "suffix2", "suffix_rows")
+            "hyphens", "fragment", "suffix1", "suffix2", "suffix_rows",
+            "segment")
 
 
 def split_url(url: Column) -> tuple[Column, Column, Column]:
@@ -99,17 +100,19 @@ def lexical(rows: DataFrame) -> DataFrame:
         number(F.length("tail")).alias("query_length"),
         number(F.regexp_count("host", F.lit("-"))).alias("hyphens"),
         number(F.instr("tail", "#") > 0).alias("fragment"),
-        last.alias("s1"), two.alias("s2"))
+        last.alias("s1"), two.alias("s2"),
+        F.regexp_extract("path", "^/([^/]*)", 1).alias("s3"))
 
 
 def with_suffixes(rows: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
-    """Adds suffix1, suffix2 and suffix_rows. The rate tables have no more
-    rows than the bounded sample."""
+    """Adds suffix1, suffix2, suffix_rows and segment. The rate tables have no
+    more rows than the bounded sample."""
     for name, t in rates.items():
         rows = rows.join(F.broadcast(t), name, "left")
     return (rows.withColumn("suffix1", F.coalesce("r_s1", F.lit(0.5)))
             .withColumn("suffix2", F.coalesce("r_s2", F.lit(0.5)))
-            .withColumn("suffix_rows", F.log1p(F.coalesce("n_s2", F.lit(0)))))
+            .withColumn("suffix_rows", F.log1p(F.coalesce("n_s2", F.lit(0))))
+            .withColumn("segment", F.coalesce("r_s3", F.lit(0.5))))
 
 
 class UrlTrees:
@@ -136,7 +139,7 @@ class UrlTrees:
             ((F.sum(F.col("blocked") * F.col("weight")) + PRIOR / 2)
              / (F.sum("weight") + PRIOR))
             .alias(f"r_{s}"), F.count("*").alias(f"n_{s}")), "rates")
-            for s in ("s1", "s2")}
+            for s in ("s1", "s2", "s3")}
         rest = self.vectors(sample.filter(~half)).select(
             "features", "weight", F.col("blocked").cast("double")
             .alias("label"))
