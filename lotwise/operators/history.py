@@ -88,10 +88,11 @@ def health(calls: DataFrame, by: list | None = None) -> DataFrame:
 def breaker_trips(calls: DataFrame, threshold: int = 3) -> DataFrame:
     """Failure streaks per endpoint and the cool-down they would cause.
 
-    A streak is a run of failures between two successes.  Strikes double the
-    half-hour pause up to a day and reset after a quiet day.  Streaks are
-    first cut per endpoint and day-sized spans, because a call log is the
-    one table here that a single endpoint can dominate.
+    A streak is a run of failures between two successes, over any number of
+    days.  Strikes double the half-hour pause up to a day and reset after a
+    quiet day.  Successes are counted per endpoint and day, because a call log
+    is the one table here that a single endpoint can dominate; the successes
+    of earlier days (one row per day) then number the streaks through.
     """
     per_day = [F.col("endpoint"), F.floor(F.col("ts_s") / DAY).alias("day")]
     w = Window.partitionBy("endpoint", "day").orderBy("ts_s", "seq")
@@ -99,11 +100,19 @@ def breaker_trips(calls: DataFrame, threshold: int = 3) -> DataFrame:
                                                                 per_day[1])
     runs = judged.select("*", F.coalesce(F.sum(
         F.when(F.col("outcome") == "ok", 1)).over(w), F.lit(0)).alias("run"))
-    streaks = runs.filter(F.col("outcome") == "failed").groupBy(
-        "endpoint", "day", "run").agg(
+    before = Window.partitionBy("endpoint").orderBy("day").rowsBetween(
+        Window.unboundedPreceding, -1)
+    days = judged.groupBy("endpoint", "day").agg(
+        F.count_if(F.col("outcome") == "ok").alias("_oks")).select(
+        "endpoint", "day", F.coalesce(F.sum("_oks").over(before), F.lit(0)
+                                      ).alias("_before"))
+    failed = runs.filter(F.col("outcome") == "failed").join(
+        days, ["endpoint", "day"])
+    streaks = failed.groupBy("endpoint", (F.col("_before") + F.col("run")
+                                          ).alias("run")).agg(
         F.count(F.lit(1)).alias("failures"), F.max("ts_s").alias("tripped_s"))
     trips = streaks.filter(F.col("failures") >= threshold)
-    # one row per trip now: a few per endpoint and day
+    # one row per trip now
     order = Window.partitionBy("endpoint").orderBy("tripped_s")
     quiet = (F.col("tripped_s") - F.lag("tripped_s").over(order)) >= DAY
     spans = trips.select("*", F.coalesce(quiet, F.lit(True)).cast("int"

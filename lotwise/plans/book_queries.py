@@ -244,11 +244,11 @@ def basket_summary(spark, sf_dir):
 
 @query("catalogue_sets", "A20", f"""{ctes('catalogue')}
 SELECT console_name, count(*) AS products FROM catalogue GROUP BY 1
-ORDER BY 2 DESC, 1 LIMIT 60""")
+ORDER BY 2 DESC, 1""")
 def catalogue_sets(spark, sf_dir):
     return view(spark, sf_dir, "catalogue").groupBy("console_name").agg(
         F.count("*").alias("products")).orderBy(
-        F.desc("products"), "console_name").limit(60)
+        F.desc("products"), "console_name")
 
 
 @query("seed_set", "K6 T49", f"""{ctes('catalogue')}
@@ -366,12 +366,11 @@ def source_health_windows(spark, sf_dir):
                                    ).alias("window_s")])
 
 
-@query("breaker_trips", "R7", f"""{ctes('calls')}, j AS (SELECT *, ts_s //
- 86400 AS day FROM calls WHERE outcome <> 'skipped'), r AS (SELECT *,
- coalesce(sum(CASE WHEN outcome = 'ok' THEN 1 END) OVER (PARTITION BY endpoint,
- day ORDER BY ts_s, seq), 0) AS run FROM j), s AS (SELECT endpoint, day, run,
- count(*) AS failures, max(ts_s) AS tripped_s FROM r WHERE outcome = 'failed'
- GROUP BY 1, 2, 3 HAVING count(*) >= 3), q AS (SELECT *, CASE WHEN tripped_s -
+@query("breaker_trips", "R7", f"""{ctes('calls')}, r AS (SELECT *,
+ coalesce(sum(CASE WHEN outcome = 'ok' THEN 1 END) OVER (PARTITION BY endpoint
+ ORDER BY ts_s, seq), 0) AS run FROM calls WHERE outcome <> 'skipped'), s AS (
+ SELECT endpoint, run, count(*) AS failures, max(ts_s) AS tripped_s FROM r
+ WHERE outcome = 'failed' GROUP BY 1, 2 HAVING count(*) >= 3), q AS (SELECT *, CASE WHEN tripped_s -
  lag(tripped_s) OVER (PARTITION BY endpoint ORDER BY tripped_s) < 86400 THEN 0
  ELSE 1 END AS quiet FROM s), p AS (SELECT *, sum(quiet) OVER (PARTITION BY
  endpoint ORDER BY tripped_s) AS span FROM q), k AS (SELECT endpoint,

@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text
+from . import csv_files
 
 # ---------------------------------------------------------------- fixed values
 ALIASES = {
@@ -156,9 +158,11 @@ def json_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_items(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of landed CSV captures as JSON text, header by header."""
-    raw = spark.read.option("header", True).csv(path)
-    return raw.select(F.to_json(F.struct(*raw.columns)).alias("item"))
+    """Rows of landed CSV captures as JSON text, each by its file's header."""
+    return reduce(DataFrame.unionByName, [
+        t.select(F.to_json(F.struct(*[c for c in t.columns if c != "file"])
+                           ).alias("item"))
+        for t in csv_files.tables(spark, path)])
 
 
 def validate_manifest(data: dict) -> list[str]:
@@ -299,12 +303,11 @@ def close_price(body) -> Column:
     """Winning price of a closed item's page: 0 when it went unsold or just
     ended, NULL when the page tells nothing (retry)."""
     raw = text.as_col(body)
-    head = F.lower(F.substring(raw, 1, 4000))
     found = F.coalesce(*[F.regexp_replace(F.regexp_extract(
         raw, "(?is)" + p, 1), ",", "").try_cast("double")
         for p in vocab.SOLD_PRICE])
     ended = raw.rlike("(?i)" + vocab.UNSOLD) | raw.rlike("(?i)" + vocab.ENDED)
-    return (F.when(text.contains_any(head, vocab.CHALLENGE),
+    return (F.when(text.contains_any(F.lower(raw), vocab.CHALLENGE),
                    F.lit(None).cast("double"))
             .when(found.isNotNull(), found).when(ended, F.lit(0.0)))
 
@@ -317,7 +320,6 @@ def sold(cards: DataFrame, scanned_at: Column) -> DataFrame:
         & (F.upper(F.coalesce("currency", F.lit("USD"))) == "USD")
         & (F.length("title") >= 15)).withColumns({
             "price": F.col("price") + F.coalesce("shipping", F.lit(0.0)),
-            "title": F.substring("title", 1, 200),
             "sold_at": F.coalesce("sold_at", scanned_at)})
 
 

@@ -1,23 +1,34 @@
 """Catalogue files: scan, typing and content check."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.guide_price import PRICE_COLUMNS, cents
+from . import csv_files
 
 REQUIRED = ("product-name", "console-name")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Any folder of catalogue CSVs; the file-name prefix names the host."""
-    raw = spark.read.option("header", True).csv(path)
-    missing = [c for c in REQUIRED if c not in raw.columns]
-    if missing:
-        raise ValueError(f"no {', '.join(missing)} column in {path}")
-    return typed(raw.withColumn("file", F.element_at(F.split(
-        F.col("_metadata.file_path"), "/"), -1)))
+    """Any folder of catalogue CSVs, each file by its own header; the
+    file-name prefix names the host. Files without the required columns are
+    left out and listed by `rejected_files`."""
+    good = [typed(t) for t in csv_files.tables(spark, path)
+            if set(REQUIRED) <= set(t.columns)]
+    if not good:
+        raise ValueError(f"no file with {', '.join(REQUIRED)} in {path}")
+    return reduce(DataFrame.unionByName, good)
+
+
+def rejected_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header) of the files that read_csv leaves out."""
+    named = F.transform(F.split("header", ","), lambda c: F.trim(c, F.lit('" ')))
+    return csv_files.headers(spark, path).filter(F.size(F.array_intersect(
+        named, F.array(*map(F.lit, REQUIRED)))) < len(REQUIRED))
 
 
 def typed(raw: DataFrame) -> DataFrame:

@@ -106,23 +106,25 @@ def latest_state(stream: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def alert_sink(path: str, deliver):
     """foreachBatch function: deliver candidates never alerted before, then
-    record them.  The durable table is the memory, so a restart neither
-    repeats nor loses an alert that was not delivered."""
+    record them.  The durable table is the memory: a replayed batch that was
+    recorded delivers nothing again.  Delivery comes first, so no alert is
+    lost; a stop between delivery and record repeats that batch once."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         schema = "item_key string, alerted_batch long"
-        try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(
+                spark._jsc.hadoopConfiguration()).exists(place):
             done = spark.read.schema(schema).parquet(path)
-        except Exception:                        # first batch: no table yet
+        else:
             done = spark.createDataFrame([], schema)
         fresh = batch.dropDuplicates(["item_key"]).join(
-            done.filter(F.col("alerted_batch") != batch_id).select(
-                "item_key"), "item_key", "left_anti").persist()
+            done.select("item_key"), "item_key", "left_anti").persist()
         try:
             deliver(fresh)
-            # keyed by batch, so that a replayed batch rewrites its own rows
             fresh.select("item_key", F.lit(batch_id).cast("long").alias(
-                "alerted_batch")).write.mode("append").parquet(path)
+                "alerted_batch")).write.mode("append").partitionBy(
+                "alerted_batch").parquet(path)
         finally:
             fresh.unpersist()
     return run

@@ -1,5 +1,7 @@
 """Operators against brute force, skew paths and streaming twins."""
+import json
 import random
+import re
 import tempfile
 
 import pandas as pd
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from lotwise.config import DEFAULT, replace
 from lotwise.operators import (candidates, close_model, comps, gates, history,
                                ledger, rank, relevance)
-from lotwise.sources import adapters
+from lotwise.sources import adapters, feeds, guide_files
 from lotwise.streaming import jobs
 
 
@@ -289,9 +291,74 @@ def test_alerts_once(spark):
     second = spark.createDataFrame([("b",), ("c",)], "item_key string")
     sink(first, 0)
     sink(second, 1)
+    sink(first, 0)                     # a replayed batch delivers nothing
+    sink(second, 1)
     assert sorted(sent) == ["a", "b", "c"]
 
 
+def test_alert_memory_faults_rise(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/alerts"
+    spark.createDataFrame([("x",)], "other string").write.json(folder)
+    sink = jobs.alert_sink(folder, lambda df: None)
+    with pytest.raises(Exception):
+        sink(spark.createDataFrame([("a",)], "item_key string"), 0)
+
+
+def test_breaker_across_midnight(spark):
+    day = 86400
+    log = [("e", day - 20, 1, "failed"), ("e", day - 10, 2, "failed"),
+           ("e", day + 10, 3, "failed"), ("e", day + 20, 4, "ok"),
+           ("e", day + 30, 5, "failed"), ("f", 5, 6, "ok"),
+           ("f", 6, 7, "failed"), ("f", day, 8, "skipped"),
+           ("f", 3 * day, 9, "failed"), ("f", 3 * day + 1, 10, "failed")]
+    got = history.breaker_trips(spark.createDataFrame(
+        log, "endpoint string, ts_s long, seq long, outcome string")).collect()
+    assert {(r["endpoint"], r["tripped_s"], r["failures"]) for r in got} == {
+        ("e", day + 10, 3), ("f", 3 * day + 1, 3)}
+
+
+def test_csv_files_by_their_own_header(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    files = {
+        "a.csv": "id,product-name,console-name,loose-price\n"
+                 "1,One,Set A,$1.00\n",
+        "b.csv": "\ufeffconsole-name,id,loose-price,product-name\n"
+                 "Topps,2,$7.00,Two\n",
+        "c.csv": "other,columns\n1,2\n"}
+    for name, body in files.items():
+        with open(f"{folder}/{name}", "w", encoding="utf-8") as out:
+            out.write(body)
+    rows = guide_files.read_csv(spark, folder).orderBy("product_id").collect()
+    assert [(r["product_id"], r["product_name"], r["console_name"],
+             r["loose_price"]) for r in rows] == [
+        ("1", "One", "Set A", 100), ("2", "Two", "Topps", 700)]
+    bad = guide_files.rejected_files(spark, folder).collect()
+    assert [r["file"].rsplit("/", 1)[1] for r in bad] == ["c.csv"]
+    items = feeds.csv_items(spark, folder).collect()
+    assert {json.loads(r["item"]).get("product-name") for r in items} == {
+        "One", "Two", None}
+
+
+def test_candidates_ignore_unrelated_products(spark):
+    few = [(1, "Red Dragon #2", "Set One"), (2, "Red Dragon #3", "Set One"),
+           (3, "Blue Dragon", "Set Two")]
+    many = few + [(i, f"red item {i} set", "Other") for i in range(10, 400)]
+    phrases = spark.createDataFrame([("red dragon 2 set",)], "phrase string")
+    tops = []
+    for rows in (few, many):
+        catalogue = spark.createDataFrame(
+            rows, "product_id long, product_name string, console_name string")
+        got = candidates.candidates(phrases, catalogue, keep=5).collect()
+        want = sorted(((-len({*"red dragon 2 set".split()} & {
+            *re.findall("[a-z0-9]+", f"{n} {c}".lower())}), i)
+            for i, n, c in rows))[:5]
+        assert sorted((-r["shared"], r["product_id"]) for r in got) == [
+            w for w in want if w[0] < 0]
+        tops.append([r["product_id"] for r in sorted(
+            got, key=lambda r: r["rank"])][:2])
+    assert tops[0] == tops[1] == [1, 2]
+
+
 def test_trailing_velocity(spark):
     daily = spark.createDataFrame(pd.DataFrame({
         "query": ["q"] * 3, "day": pd.to_datetime(
