@@ -199,9 +199,10 @@ def waterfall(classified: DataFrame) -> DataFrame:
                    ).alias("detail"))
 
 
-def collisions(valued: DataFrame, min_group: int = 3) -> DataFrame:
+def collisions(valued: DataFrame, min_group: int = 3, sample: int = 3
+               ) -> DataFrame:
     """One fair value shared by several different assets, with the first
-    three titles; the sample is a per-value top-3, limited before the
+    `sample` titles; they are a per-value top list, limited before the
     shuffle."""
     rows = valued.filter(F.col("fair_value") > 0).withColumn(
         "fair", F.round("fair_value", 2))
@@ -209,12 +210,12 @@ def collisions(valued: DataFrame, min_group: int = 3) -> DataFrame:
         F.countDistinct(F.coalesce("identity_key", "title")).alias("assets"),
         F.count(F.lit(1)).alias("listings")
     ).filter(F.col("assets") >= min_group)
-    sample = rank.top_n(rows.select("fair", "title", "row_id"), ["fair"],
-                        [F.asc("row_id")], 3).groupBy("fair").agg(
+    titles = rank.top_n(rows.select("fair", "title", "row_id"), ["fair"],
+                        [F.asc("row_id")], sample).groupBy("fair").agg(
         F.array_sort(F.collect_list(F.struct("row_id", "title"))).alias("s"))
-    return groups.join(sample, "fair").select(
+    return groups.join(titles, "fair").select(
         "fair", "assets", "listings", F.array_join(F.transform(
-            "s", lambda r: F.substring(r["title"], 1, 60)), "; "
+            "s", lambda r: r["title"]), "; "
         ).alias("titles"))
 
 

@@ -132,7 +132,7 @@ def filter_waterfall(spark, sf_dir):
 @query("value_collisions", "A11", f"""{ctes('valued')}, r AS (SELECT *,
  CAST(floor(fair_value / 25) AS BIGINT) * 25e0 AS fair FROM valued
  WHERE floor(fair_value / 25) > 0), s AS (SELECT fair, string_agg(
- substr(title, 1, 60), '; ' ORDER BY row_id) AS titles FROM (SELECT *,
+ title, '; ' ORDER BY row_id) AS titles FROM (SELECT *,
  row_number() OVER (PARTITION BY fair ORDER BY row_id) AS n FROM r)
  WHERE n <= 3 GROUP BY fair)
 SELECT fair, count(DISTINCT identity_key) AS assets, count(*) AS listings,

@@ -121,7 +121,7 @@ MARKS = """CASE page_id % 6 WHEN 0 THEN 'Winning bid: US $1,250.50 now' WHEN 1
 
 @query("close_prices", "S20", f"""
 WITH p AS (SELECT page_id, concat({MARKS}, html) AS body FROM pages)
-SELECT page_id, CASE WHEN {duck.contains_any('lower(substr(body, 1, 4000))',
+SELECT page_id, CASE WHEN {duck.contains_any('lower(body)',
  vocab.CHALLENGE)} THEN NULL ELSE coalesce({', '.join(
  f"TRY_CAST(replace(regexp_extract(body, {duck.lit('(?is)' + p)}, 1), ',', '') AS DOUBLE)"
  for p in vocab.SOLD_PRICE)}, CASE WHEN regexp_matches(body,
@@ -134,7 +134,7 @@ def close_prices(spark, sf_dir):
 
 
 @query("sold_cards", "S9", f"""{ctes('sales')}
-SELECT sale_id, substr(title, 1, 200) AS title, price + 5e0 AS price, coalesce(
+SELECT sale_id, title, price + 5e0 AS price, coalesce(
  CASE WHEN sold_s % 5 <> 0 THEN sold_s END, scanned_s) AS sold_s FROM sales
 WHERE site <> 'goldin' AND len(title) >= 15""")
 def sold_cards(spark, sf_dir):
@@ -302,13 +302,13 @@ def new_wanted_queries(spark, sf_dir):
 @query("warm_queries", "K7", f"""{ctes('standing_queries', 'sales')}
 SELECT query, ord FROM standing_queries WHERE NOT priority AND query NOT IN
  (SELECT query FROM sales WHERE site = 'ebay' AND price > 2000) ORDER BY ord,
- query LIMIT 20""")
+ query """)
 def warm_queries(spark, sf_dir):
     watch = view(spark, sf_dir, "standing_queries").select(
         "query", "ord", "priority")
     cached = view(spark, sf_dir, "sales").filter(
         (F.col("site") == "ebay") & (F.col("price") > 2000))
-    return planning.warm_queries(watch, watch.filter("priority"), cached, 20
+    return planning.warm_queries(watch, watch.filter("priority"), cached
                                  ).select("query", "ord")
 
 
@@ -336,11 +336,11 @@ VALUATION = f"""{PREPARED}, pv AS (SELECT *, {duck.category('query')} AS
  category IN ('Pokemon Cards', 'Sports Cards') AND targeted_query IS NOT NULL
  GROUP BY 1)
 SELECT targeted_query, r[2] AS timing, r[3] AS cost FROM u ORDER BY r,
- targeted_query LIMIT 200""")
+ targeted_query""")
 def targeted_lookups(spark, sf_dir):
     rows = prepared(spark, sf_dir).withColumn("category",
                                               text.category("query"))
-    return planning.plan_lookups(rows, 200).select("targeted_query", "timing",
+    return planning.plan_lookups(rows).select("targeted_query", "timing",
                                                    "cost")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..config import DEFAULT
 from ..functions import grades, identity, matching, text, urls, variants
+from ..functions.stage import stage
 from ..sources.adapters import ctes, table, view
 from . import duck
 from .registry import query
@@ -129,8 +130,9 @@ def title_match_sequence(spark, sf_dir):
     score = matching.match_score(
         F.col("q.tokens"), F.col("t.tokens"), F.col("q.low"), F.col("t.low"),
         similarity="sequence")
-    return near.select("title", "query", F.round(score, 6).alias("score")
-                       ).filter(F.col("score") >= DEFAULT.min_match)
+    # staged, so that the filter does not run the function a second time
+    return stage(near, score=F.round(score, 6)).select(
+        "title", "query", "score").filter(F.col("score") >= DEFAULT.min_match)
 
 
 @query("variant_classes", "T8 T9 T10 T11 T12 T13", f"""{LOWERED}

@@ -15,9 +15,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # text stages are CPU-bound: let small shuffles still use every core
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize",
-                   "128KB")
     return spark
 
 
@@ -29,7 +26,10 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8,
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "12g")
-               .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+               .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+               # small local inputs: let small shuffles still use every core
+               .config("spark.sql.adaptive.coalescePartitions."
+                       "minPartitionSize", "128KB"))
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
