@@ -19,10 +19,6 @@ from ..session import cut_lineage
 
 HOT_ROWS = 500_000
 RANGES = 64
-# A key outside the hottest 2,000 holds at most 1/2,000 of the rows, so it
-# needs no cutting; and 2,000 keys with 64 cut points stay small enough to
-# broadcast (a few megabytes).
-HOT_KEYS = 2_000
 
 
 class ColdKeys:
@@ -51,20 +47,18 @@ class HotKeys:
     def totals(self, df: DataFrame, **aggregates: Column) -> DataFrame:
         per_key = df.groupBy(*self.keys).agg(
             *[a.alias(name) for name, a in aggregates.items()])
-        # at most HOT_KEYS rows
-        return cut_lineage(df.join(F.broadcast(per_key), self.keys))
+        return cut_lineage(df.join(cut_lineage(per_key), self.keys))
 
     def running(self, df: DataFrame, order: str, **measures: str) -> DataFrame:
         points = [i / self.ranges for i in range(1, self.ranges)]
         cuts = df.groupBy(*self.keys).agg(
             F.percentile_approx(order, points, 1000).alias("_cuts"))
-        ranged = df.join(F.broadcast(cuts), self.keys).withColumn(
+        ranged = df.join(cut_lineage(cuts), self.keys).withColumn(
             "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
         ).drop("_cuts")
         inside = Window.partitionBy(*self.keys, "_range").orderBy(order)
         before = (Window.partitionBy(*self.keys).orderBy("_range")
                   .rowsBetween(Window.unboundedPreceding, -1))
-        # at most HOT_KEYS x RANGES rows
         offsets = ranged.groupBy(*self.keys, "_range").agg(
             *[F.sum(m).alias(f"_t_{name}") for name, m in measures.items()]
         ).select(*self.keys, "_range",
@@ -72,7 +66,7 @@ class HotKeys:
                    for name in measures])
         ranked = ranged.select("*", *[F.sum(m).over(inside).alias(name)
                                       for name, m in measures.items()])
-        joined = ranked.join(F.broadcast(offsets), [*self.keys, "_range"])
+        joined = ranked.join(offsets, [*self.keys, "_range"])
         return cut_lineage(joined.select(*df.columns, *[
             F.when(F.col(f"_o_{name}").isNull(), F.col(name))
             .otherwise(F.col(name) + F.col(f"_o_{name}")).alias(name)
@@ -92,11 +86,12 @@ def by_temperature(dist: DataFrame, keys: list[str],
     source = dist if bound is None else bound
     hot = (source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
            .filter(F.col("_rows") > hot_rows)
-           .orderBy(F.desc("_rows")).limit(HOT_KEYS)
            .select(*[F.col(k).alias(f"_{k}") for k in keys]))
     if hot.isEmpty():
         return steps(dist, ColdKeys(keys))
-    hot, dist = F.broadcast(cut_lineage(hot)), cut_lineage(dist)
+    # every hot key, however many; the joins are shuffles that Spark splits
+    # where a key is hot, and broadcasts where it has seen the side is small
+    hot, dist = cut_lineage(hot), cut_lineage(dist)
     same = [dist[k].eqNullSafe(hot[f"_{k}"]) for k in keys]
     return steps(dist.join(hot, same, "left_anti"), ColdKeys(keys)
                  ).unionByName(steps(dist.join(hot, same, "left_semi"),
