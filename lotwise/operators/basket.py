@@ -1,13 +1,12 @@
 """Pricing a list of named holdings against the catalogue."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import grades, guide_price, text
 from ..functions.stage import stage
-from . import rank
 
 # ---------------------------------------------------------------- fixed values
 HEADERS = {
@@ -132,9 +131,11 @@ def matches(basket: DataFrame, catalogue: DataFrame) -> DataFrame:
                          & (F.col("variants") == F.col("p_variants"))
                          ).withColumn("rule", F.when(contains, 4
                                                      ).otherwise(5))
-    both = by_name.unionByName(by_core)
-    best = both.groupBy("line").agg(F.min("rule").alias("rule"))
-    return both.join(best, ["line", "rule"])
+    # a line names few products, so its window is small; the matches are
+    # computed once
+    best = F.min("rule").over(Window.partitionBy("line"))
+    return by_name.unionByName(by_core).withColumn("_best", best).filter(
+        F.col("rule") == F.col("_best")).drop("_best")
 
 
 def mismatch(supplied: Column, matched: Column) -> Column:
@@ -159,11 +160,12 @@ def price(basket: DataFrame, catalogue: DataFrame) -> DataFrame:
     graded = basket.withColumn("g", grades.grade_info(F.concat_ws(
         " ", "name", "grade")))
     found = matches(basket.select("line", "name", "set"), catalogue)
-    sets = found.groupBy("line").agg(F.countDistinct("p_set").alias("sets"))
-    chosen = rank.best_by(found, ["line"], [F.col("product_id")], [
-        "product_id", "product_name", "console_name", "rule",
-        *guide_price.PRICE_COLUMNS])
-    rows = graded.join(chosen.join(sets, "line"), "line", "left")
+    chosen = found.groupBy("line").agg(
+        F.size(F.collect_set("p_set")).alias("sets"),
+        F.min_by(F.struct("product_id", "product_name", "console_name",
+                          "rule", *guide_price.PRICE_COLUMNS), "product_id"
+                 ).alias("_r")).select("line", "sets", "_r.*")
+    rows = graded.join(chosen, "line", "left")
     rows = stage(rows, refused=mismatch(F.col("name"), F.col("product_name")),
                  cents=guide_price.price_cents(
                      F.col("g.effective"), F.col("g.grader"),
