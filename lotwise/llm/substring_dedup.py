@@ -209,9 +209,9 @@ def repeated_passages(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, spans ([start, end) word numbers,
     maximal), kept_sha256 of the words that stay."""
     rows = stored(read_texts(docs, size), "texts")
-    leaders = (rows.filter((F.col("n_words") >= size) & F.col(
+    leaders = stored(rows.filter((F.col("n_words") >= size) & F.col(
         "doc_id").isNotNull()).groupBy("digest")
-        .agg(F.min("doc_id").alias("leader")))
+        .agg(F.min("doc_id").alias("leader")), "leaders")
     rows = stored(rows.join(leaders, "digest", "left"), "led")
     single = rows.filter("doc_id = leader")
     minis = single.select("doc_id", "tag", F.explode("minis").alias("mini"))
