@@ -49,7 +49,7 @@ from .substring_dedup import BASES, powers
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 #: Distinct chunks that a worker remembers, and characters per batch.
-REMEMBERED, BATCH_CHARS = 500_000, 4_000_000
+REMEMBERED, BATCH_CHARS = 400_000, 2_000_000
 BREAK = -1
 
 
@@ -429,8 +429,15 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, text and ids; model: a file of `sentencepiece`."""
+def encode(docs: DataFrame, model: str, checked: bool = False) -> DataFrame:
+    """doc_id, text and ids; model: a file of `sentencepiece`.
+
+    checked: also `ids_crc32`, the CRC-32 of the ids as little-endian unsigned
+    32-bit numbers, and `decoded`, the text that decoding them gives, in the
+    same pass.
+    """
+    names = ["doc_id", "text", "ids"] + ["ids_crc32", "decoded"] * checked
+
     def part(batches):
         words = vocabulary(model)
         for batch in batches:
@@ -444,13 +451,20 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 at += n
                 ids, counts = words.encode(some.column(1))
                 ends = np.concatenate([[0], np.cumsum(counts)])
-                yield pa.RecordBatch.from_arrays(
-                    [*some.columns, pa.ListArray.from_arrays(
-                        pa.array(ends.astype(np.int32)), pa.array(ids))],
-                    names=["doc_id", "text", "ids"])
-
-    return texts(docs).mapInArrow(part, "doc_id long, text string, "
-                                        "ids array<int>")
+                made = [*some.columns, pa.ListArray.from_arrays(
+                    pa.array(ends.astype(np.int32)), pa.array(ids))]
+                if checked:
+                    each = [ids[a:b] for a, b in zip(
+                        ends.tolist(), ends[1:].tolist(), strict=False)]
+                    made += [pa.array([zlib.crc32(x.astype("<u4").tobytes())
+                                       for x in each], pa.int64()),
+                             pa.array([words.decode(x.tolist())
+                                       for x in each], pa.string())]
+                yield pa.RecordBatch.from_arrays(made, names=names)
+
+    more = ", ids_crc32 long, decoded string" * checked
+    return texts(docs).mapInArrow(
+        part, "doc_id long, text string, ids array<int>" + more)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -471,13 +485,9 @@ def op6_sentencepiece(spark, sf_dir):
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
 
-    @F.pandas_udf("long")
-    def crc(ids):
-        return ids.map(lambda x: zlib.crc32(x.astype("<u4").tobytes()))
-
-    rows = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    rows = encode(table(spark, sf_dir, "documents"), model, checked=True)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"),
-        crc("ids").alias("ids_crc32"),
+        "ids_crc32",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         (F.col("decoded") == F.col("text")).alias("same"))

@@ -247,6 +247,11 @@ def test_pieces(spark, frame, odd_rows):
     for docs in (frame(odd), table(spark, SMALL, "documents").limit(300)):
         got = decode(encode(docs, PIECES), PIECES).collect()
         assert len(got) == docs.count()
+        both = encode(docs, PIECES, checked=True).collect()
+        assert [(r["ids"], r["decoded"]) for r in both] == [
+            (r["ids"], r["decoded"]) for r in got]
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(
+            r["ids"], "<u4").tobytes()) for r in both)
         for r in got:
             assert r["ids"] == library.encode(r["text"])
             assert r["decoded"] == r["text"].replace(MARK, " ")
