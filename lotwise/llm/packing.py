@@ -43,9 +43,9 @@ PIECE = 1024
 #: Windows that are balanced together.
 GROUP = 256
 #: Bytes of text that are encoded together.
-SEGMENT = 8 << 20
-#: Words that a worker remembers.
-WORDS = 1_000_000
+SEGMENT = 6 << 20
+#: Words, and parts of words, that a worker remembers.
+WORDS, PARTS_KEPT = 800_000, 800_000
 COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(),
            "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
            "sequence_id": pa.int64(), "offset": pa.int64()}
@@ -73,7 +73,7 @@ class WordIds:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
@@ -91,13 +91,17 @@ class WordIds:
 
     def learn(self, words: list[str]) -> None:
         cuts = [self.cut(w) for w in words]
+        if len(self.parts) > PARTS_KEPT:
+            self.parts.clear()
         new = list(set(chain.from_iterable(cuts)).difference(self.parts))
-        self.parts.update(zip(new, (x.ids for x in self.model.encode_batch_fast(
-            new, add_special_tokens=False)), strict=True))
+        self.parts.update(zip(new, (
+            np.array(x.ids, "<u4").tobytes()
+            for x in self.model.encode_batch_fast(
+                new, add_special_tokens=False)), strict=True))
         get = self.parts.__getitem__
-        ids = [list(chain.from_iterable(map(get, c))) if len(c) > 1
-               else get(c[0]) if c else [] for c in cuts]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids = [get(c[0]) if len(c) == 1 else b"".join(map(get, c))
+               for c in cuts]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         n, total = len(self.number), int(lengths.sum())
         for name, need in (("flat", self.used + total),
                            ("starts", n + len(ids)),
@@ -106,8 +110,8 @@ class WordIds:
             if need > len(old):
                 setattr(self, name, np.concatenate(
                     [old, np.zeros(max(need, len(old)), old.dtype)]))
-        self.flat[self.used:self.used + total] = np.fromiter(
-            chain.from_iterable(ids), np.uint32, total)
+        self.flat[self.used:self.used + total] = np.frombuffer(
+            b"".join(ids), "<u4")
         self.lengths[n:n + len(ids)] = lengths
         self.starts[n:n + len(ids)] = self.used + np.cumsum(lengths) - lengths
         self.used += total
