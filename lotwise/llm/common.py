@@ -19,7 +19,7 @@ from ..session import checkpoint_folder
 #: White space of the corpus contracts.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Entries that a worker's word cache holds before it starts afresh.
-CACHE = 400_000
+CACHE = 250_000
 #: Rows that Arrow functions hand on in one batch.
 OUT_ROWS = 200_000
 
