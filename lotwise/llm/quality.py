@@ -31,7 +31,7 @@ from .registry import query, table
 
 TRAIN_ROWS = 12_000
 BUCKETS, RANK, BINS = 4096, 8, 12
-STEPS, BATCH, RATE, DECAY = 1200, 128, 0.01, 1e-5
+STEPS, BATCH, RATE, DECAY = 600, 128, 0.02, 1e-5
 STATS = ("words", "length", "upper", "digit", "symbol", "other", "distinct",
          "top", "adjacent", "lines", "line_words", "edge", "n_chars")
 
@@ -141,13 +141,14 @@ def fit(found: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray
                     "factor": np.stack([np.bincount(
                         index, each * (total[:, f] - v[:, f] * value), size)
                         for f in range(RANK)], 1)}
-            made.bias -= RATE * float(miss.mean())
+            rate = RATE * max(0.0, 1 - step / STEPS)
+            made.bias -= rate * float(miss.mean())
             step += 1
             for k, p in params.items():
                 g = grad[k] + DECAY * p
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
-                p -= (RATE * first[k] / (1 - 0.9 ** step)
+                p -= (rate * first[k] / (1 - 0.9 ** step)
                       / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8))
     return made
 
