@@ -240,7 +240,7 @@ def open_pairs(t: pa.Table, percent: int, bands: int):
     at = 0
     while at < len(key):
         stop = int(np.searchsorted(sums, (sums[at - 1] if at else 0)
-                                   + 100_000)) + 1
+                                   + 20_000)) + 1
         stop = min(stop, len(key))
         some = later[at:stop]
         x = np.repeat(np.arange(at, stop), some)
