@@ -283,10 +283,9 @@ def awaiting_close(spark, sf_dir):
 SELECT item_id, end_s, CASE WHEN a > 0 THEN a + shipping ELSE a END AS
  settled_price FROM f""")
 def settlements(spark, sf_dir):
-    """Snapshots up to mid-month, so that closes can follow."""
-    seen = view(spark, sf_dir, "observations").filter(
-        F.col("observed_s") < 1705276800)
-    return history.settlements(seen, view(spark, sf_dir, "closes"))
+    """Every observed item; without a close in time it stays NULL."""
+    return history.settlements(view(spark, sf_dir, "observations"),
+                               view(spark, sf_dir, "closes"))
 
 
 @query("close_model_error", "M3 M4")

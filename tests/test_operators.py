@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lotwise.config import DEFAULT, replace
 from lotwise.operators import (candidates, close_model, comps, gates, history,
                                ledger, rank, relevance)
+from lotwise.plans import QUERIES
 from lotwise.sources import adapters, feeds, guide_files
 from lotwise.streaming import jobs
 
@@ -182,6 +183,27 @@ def test_deploy_gate():
     assert not close_model.deploys(200, 0.26, 0.40)[0]
 
 
+def test_settlements_cover_every_observation(spark, sf_dir):
+    seen = adapters.view(spark, sf_dir, "observations").collect()
+    closes = adapters.view(spark, sf_dir, "closes").collect()
+    assert max(o["observed_s"] for o in seen) > 1705276800
+    ends, shipping, want = {}, {}, {}
+    for o in seen:
+        item = o["item_id"]
+        ends[item] = max(ends.get(item, o["end_s"]), o["end_s"])
+        shipping[item] = max(shipping.get(item, 0.0), o["shipping"])
+    for item, end in ends.items():
+        inside = [c for c in closes if c["item_id"] == item
+                  and end <= c["closed_s"] <= end + 10 * 86400]
+        price = min(inside, key=lambda c: (c["closed_s"], c["seq"]))[
+            "actual_price"] if inside else None
+        want[item] = (end, price + shipping[item] if price else price)
+    got = QUERIES["settlements"](spark, sf_dir).collect()
+    assert len(got) == len(want)
+    assert {r["item_id"]: (r["end_s"], r["settled_price"]) for r in got
+            } == want
+
+
 # ------------------------------------------------------------------- streaming
 def drain(query_df, mode, name):
     q = (query_df.writeStream.format("memory").outputMode(mode)
