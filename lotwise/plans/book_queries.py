@@ -293,12 +293,14 @@ def close_model_error(spark, sf_dir):
     """Cross-validated error by auction, and whether the model may run."""
     kept = snapshots(spark, sf_dir).filter(F.col("reason").isNull())
     params = history.settle_params(history.per_item(kept)).filter(
-        F.col("band") == "all").first()
-    error = close_model.grouped_error(kept, folds=3, trees=5)
-    use, why = close_model.deploys(params["n"], error, params["mae"])
-    return spark.range(1).select(
-        F.lit(params["n"]).alias("items"), F.lit(error).alias("cv_error"),
-        F.lit(use).alias("deployed"), F.lit(why).alias("reason"))
+        F.col("band") == "all").select(F.col("n").alias("items"), "mae")
+    error = spark.range(1).select(F.lit(
+        close_model.grouped_error(kept)).alias("cv_error"))
+    reason = close_model.refusal(F.col("items"), F.col("cv_error"),
+                                 F.col("mae"))
+    return params.crossJoin(error).select(
+        "items", "cv_error", (reason == "").alias("deployed"),
+        reason.alias("reason"))
 
 
 @query("matched_closes", "J9", f"""{ctes('observations', 'closes', 'closed')}
@@ -458,6 +460,6 @@ def calibration(spark, sf_dir):
 def close_model_query(spark, sf_dir):
     """Fit on every kept snapshot and predict each auction's close ratio."""
     kept = snapshots(spark, sf_dir).filter(F.col("reason").isNull())
-    fitted = close_model.model(trees=10).fit(kept)
+    fitted = close_model.model().fit(kept)
     return close_model.predict(fitted, history.per_item(kept)).select(
         "item_id", "target", "predicted_ratio")

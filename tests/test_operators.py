@@ -183,6 +183,38 @@ def test_deploy_gate():
     assert not close_model.deploys(200, 0.26, 0.40)[0]
 
 
+def test_deploy_gate_as_a_column(spark):
+    cases = [(200, 0.20, 0.30), (100, 0.20, 0.30), (200, 0.295, 0.30),
+             (200, 0.26, 0.40), (200, float("nan"), 0.30), (150, 0.25, 0.30)]
+    rows = spark.createDataFrame(cases, "n long, e double, m double").select(
+        "n", "e", "m", close_model.refusal(
+            F.col("n"), F.col("e"), F.col("m")).alias("why")).collect()
+    assert len(rows) == len(cases)
+    for n, e, m, why in rows:
+        assert (why == "", why) == close_model.deploys(n, e, m)
+
+
+def test_close_models_are_fitted_at_full_size(spark, sf_dir, monkeypatch):
+    made, folds = [], []
+    model, validator = close_model.model, close_model.CrossValidator
+
+    def small(trees=200):
+        made.append(trees)
+        return model(2)
+
+    def counted(**given):
+        folds.append(given["numFolds"])
+        return validator(**given)
+
+    monkeypatch.setattr(close_model, "model", small)
+    monkeypatch.setattr(close_model, "CrossValidator", counted)
+    assert QUERIES["close_model"](spark, sf_dir).count() > 0
+    row, = QUERIES["close_model_error"](spark, sf_dir).collect()
+    assert made == [200, 200] and folds == [5]
+    assert row["items"] > 0 and row["cv_error"] > 0
+    assert row["deployed"] == (row["reason"] == "")
+
+
 def test_settlements_cover_every_observation(spark, sf_dir):
     seen = adapters.view(spark, sf_dir, "observations").collect()
     closes = adapters.view(spark, sf_dir, "closes").collect()
