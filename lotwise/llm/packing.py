@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import unicodedata
 import zlib
 from functools import cache
 from itertools import chain
@@ -52,17 +53,32 @@ COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(),
 SCHEMA = ", ".join(f"{c} long" for c in COLUMNS)
 
 
+@cache
+def stays_letter(c: str) -> bool:
+    """Whether a character is one letter before and after NFC and lower-casing.
+
+    In Unicode 3.2 and in Python's version, so in any that a tokenizer may
+    have. Capital dotted I, for one, becomes a letter and a combining mark.
+    """
+    low = c.lower()
+    return (len(low) == 1 and unicodedata.normalize("NFC", c) == c
+            and all(x.category(y)[0] == "L" for y in (c, low)
+                    for x in (unicodedata, unicodedata.ucd_3_2_0)))
+
+
 class WordIds:
     """Token ids of words, encoding each part of a word once while remembered.
 
     White space never lies inside a token of a word-level vocabulary, so the
     ids of a text are those of its words in turn; and the tokenizer cuts words
     into letters, digits and signs before it merges, so those of a word are
-    those of its parts.
+    those of its parts. Only cuts that are sure to be the tokenizer's are made
+    here; all other words are encoded whole.
     """
 
-    #: The tokenizer's own cut of lower-case ASCII words (fixed value).
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    #: The tokenizer's own cut of lower-case ASCII words (fixed value). White
+    #: space is spelt out: Python's \s has U+001C to U+001F besides.
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
     TAIL = re.compile(r"[!-/:-@\[-`{-~]+$")
 
     def __init__(self, path: str):
@@ -85,7 +101,7 @@ class WordIds:
         if word.isascii():
             return self.PARTS.findall(word.lower())
         tail = self.TAIL.search(word)
-        if tail and word[tail.start() - 1:tail.start()].isalpha():
+        if tail and tail.start() and stays_letter(word[tail.start() - 1]):
             return [word[:tail.start()], tail[0]]
         return [word]
 

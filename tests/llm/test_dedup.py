@@ -1,4 +1,5 @@
 """Exact, near and substring dedup, packing, sharding."""
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -194,6 +195,33 @@ def test_packing(spark, sf_dir, frame, odd_rows):
             assert sum(fill.values()) / (4096 * len(fill)) > 0.95
 
 
+def test_word_parts_are_the_tokenizers():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    model = Tokenizer.from_file(TOKENS)
+    signs = [*map(chr, range(1, 9)), *map(chr, range(14, 48)), "\x7f"]
+    letters = [*"abstmvlrdIZ09'", *"\u0130\u00c9\u03a3\u1e9e\u00df",
+               *"\u0307\u0301\u0338\u093c\u05b4", "\u0958", "\ufb1d",
+               "\u1100", "\u1161", "\u11a8", "\u212a", "\u1fbe", "\u0374",
+               "\u00a0", "\u0085", "\u2028", "\u4e00", "\U0002ebf0",
+               "\u1c89", "\u0660", "\u2160", "\u24b6"]
+    draw = random.Random(5)
+    words = ["a\x1cb", "GAZETES\u0130,", "\u0130'", "'", "\u0915\u0958."]
+    for kind in (signs, letters, signs + letters):
+        words += ["".join(draw.choices(kind, k=draw.randint(1, 6)))
+                  + draw.choice(["", "", ",", "'", "<=", "''s"])
+                  for _ in range(4000)]
+    words += [f"x{chr(c)}," for c in range(0x80, 0x30000)
+              if chr(c).isalpha() and c % 7 == 0]
+    texts = [" ".join(words[i:i + 3]) for i in range(0, len(words), 3)]
+    ids, ends = packing.WordIds(TOKENS).of(pa.array(texts))
+    start = 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        want = model.encode(text, add_special_tokens=False).ids
+        assert ids[start:end].tolist() == want, text
+        start = end
+
+
 def test_long_text_in_stretches(frame, monkeypatch):
     text = "alpha Beta, gamma\n" * 500
     whole = {r["start"]: r["ids_crc32"]
