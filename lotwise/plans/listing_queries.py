@@ -53,7 +53,7 @@ PREPARED = f"""{ctes('listings', 'standing_queries')}, prepared AS (
  FROM listings l JOIN standing_queries q ON l.query = q.query)"""
 
 
-@query("listing_keys", "W1 J1 F11 S18", f"""{PREPARED}
+@query("listing_keys", "W1 J1 F11", f"""{PREPARED}
 SELECT row_id, listing_key, priority, discovery, resale_channel,
  hours_remaining, age_hours FROM prepared""")
 def listing_keys(spark, sf_dir):
@@ -185,7 +185,7 @@ COSTS = f"""{PREPARED}, costs AS (SELECT *,
  AS tax FROM prepared)"""
 
 
-@query("landed_costs", "V1 V2 V3 V4 S11", f"""{COSTS}
+@query("landed_costs", "V1 V2 V3 V4", f"""{COSTS}
 SELECT row_id, fee AS buyer_fee, landed AS landed_cost, tax AS tax_rate,
  landed * (1e0 + tax) AS total_cost,
  abs({INVERSE_SQL.format(x='landed')} - current_price) < 1e-6

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import canon, check, duck
-from lotwise.plans import QUERIES
+from lotwise.plans import COVERS, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,12 @@ def test_every_check_sql_has_a_query():
     assert canon(1.5) == "1.5"
 
 
+def test_unbuilt_survey_operators_are_not_claimed():
+    claimed = {i for ids in COVERS.values() for i in ids.split()}
+    assert not claimed & {"S11", "S18", "J8"}
+    assert {"V1", "W1", "J5"} <= claimed
+
+
 def test_appraisal_values_each_item_once(spark, sf_dir):
     rows = QUERIES["appraisal"](spark, sf_dir).cache()
     assert rows.count() > 0
