@@ -11,13 +11,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder
 
 #: White space of the corpus contracts.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Pattern of what lies between words of letters and digits, A-Z lowered.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows that a table may have to be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Entries that a worker's word cache holds before it starts afresh.
 CACHE = 250_000
 #: Rows that Arrow functions hand on in one batch.
@@ -35,6 +40,47 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """small with a broadcast hint if it has at most `rows` rows.
+
+    Beyond that it is joined by a shuffle, whose hot partitions adaptive
+    execution splits. The rows of small must be narrow.
+    """
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows \
+        else small
+
+
+def lowered(text: Column) -> Column:
+    """text (null: empty) with A-Z lowered and nothing else."""
+    return F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL)
+
+
+def letter_words(text: Column) -> Column:
+    """Lower-cased words of ASCII letters, digits and non-ASCII characters."""
+    return F.array_remove(F.split(lowered(text), BETWEEN), "")
+
+
+def ordered(rows: DataFrame, by: list[str | Column], label: str) -> DataFrame:
+    """rows with their 0-based position (pos) in the order `by`.
+
+    `by` must tell all rows of a stored table apart, so that no value fills a
+    range. Ranges are dealt out by Spark's sampled splitters and written in
+    order; the positions of a range start after the rows of those before it.
+    """
+    here = F.monotonically_increasing_id()
+    dealt = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by)
+                   .withColumn("_part", F.shiftright(here, 33))
+                   .withColumn("_row", here.bitwiseAND((1 << 33) - 1)), label)
+    # one row per range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+             .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0))
+                     .alias("_base")))
+    return (dealt.join(F.broadcast(bases), "_part")
+            .withColumn("pos", F.col("_base") + F.col("_row"))
+            .drop("_part", "_row", "_base"))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and whole text (null: empty), whatever else docs carries."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -1,5 +1,6 @@
 """Imports every operator module, so that all queries are registered."""
 from . import (  # noqa: F401
+    decontamination,
     exact_dedup,
     near_dedup,
     packing,
