@@ -2,6 +2,7 @@
 from . import (  # noqa: F401
     decontamination,
     exact_dedup,
+    merkle,
     near_dedup,
     packing,
     pieces,
