@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     packing,
     pieces,
     quality,
+    resampling,
     secret_scan,
     sharding,
     substring_dedup,
