@@ -153,8 +153,14 @@ def trimmed_floor(rows: DataFrame, keys: list[str], s: Settings = DEFAULT,
                   bound: DataFrame | None = None) -> DataFrame:
     """Value floor from live asks, per key: at least three asks, outliers
     dropped, the element at a quarter of the rest, less ten percent."""
-    dist = rank.distribution(rows, keys, "price")
+    return floor_of(rank.distribution(rows, keys, "price"), keys, hot_rows,
+                    bound)
 
+
+def floor_of(dist: DataFrame, keys: list[str],
+             hot_rows: int = rank.HOT_ROWS,
+             bound: DataFrame | None = None) -> DataFrame:
+    """trimmed_floor of a distribution: keys, price, n."""
     def steps(d, by):
         d = by.totals(d, asks=F.sum("n")).filter(F.col("asks") >= 3)
         d = by.running(d, "price", upto="n")

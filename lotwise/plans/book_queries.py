@@ -275,7 +275,7 @@ def awaiting_close(spark, sf_dir):
 
 @query("settlements", "R4", f"""{ctes('observations', 'closes')}, e AS (SELECT
  item_id, max(end_s) AS end_s, max(shipping) AS shipping FROM observations
- WHERE observed_s < 1705276800 GROUP BY 1), j AS (SELECT e.*, c.closed_s, c.seq,
+ GROUP BY 1), j AS (SELECT e.*, c.closed_s, c.seq,
  c.actual_price FROM e LEFT JOIN closes c ON c.item_id = e.item_id AND
  c.closed_s BETWEEN e.end_s AND e.end_s + 864000), f AS (SELECT item_id, end_s,
  shipping, arg_min(actual_price, (closed_s, seq)) FILTER (WHERE closed_s IS NOT

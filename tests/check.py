@@ -79,7 +79,8 @@ def main(argv):
     if argv[:1] == ["--sf"]:
         sf, argv = argv[1], argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark, con = local_session(8), duck(sf_dir)
+    spark, con = local_session(8, **{
+        "spark.ui.showConsoleProgress": "false"}), duck(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in queries.items():
