@@ -100,7 +100,8 @@ class Settings:
     max_roi_live: float = 10.0
     max_roi_projected: float = 2.0
     min_expected_value: float = 0.0
-    max_rows: int = 1000
+    #: Report size; rows beyond it are labelled. None: no such limit.
+    max_rows: int | None = None
     accepted_eras: tuple[str, ...] = ("1st edition", "first edition",
                                       "1st ed", "no rarity")
     era_exempt_queries: tuple[str, ...] = ("topsun", "carddass",

@@ -205,3 +205,15 @@ def promotable(s: Settings = DEFAULT) -> Column:
         & (F.col("match").isin("exact", "strong")
            | (F.col("n_comps") >= s.min_specific_comps))
         & ~F.col("disputed") & ~blocked, F.lit(False))
+
+
+def promoted(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Discovery rows whose evidence identifies the asset become ordinary
+    ones; `promoted_from_discovery` and a note tell so, and those that stay
+    are marked as browsing only."""
+    up = F.col("discovery") & promotable(s)
+    marks = notes(note(up, "PROMOTED FROM DISCOVERY"),
+                  note(F.col("discovery") & ~promotable(s), "DISCOVERY"))
+    return stage(df, notes=F.concat("notes", marks),
+                 promoted_from_discovery=up,
+                 discovery=F.col("discovery") & ~up)

@@ -129,19 +129,31 @@ def classify(valued: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def cap_rows(judged: DataFrame, s: Settings) -> DataFrame:
-    """Label kept rows beyond the report size.  The boundary score comes
-    from a top-k, so no global sort is needed."""
+    """Label kept rows beyond the report size, if the caller states one.
+
+    Candidates are a top-k of `max_rows`, so no global sort is needed; how
+    many of them fit depends on the number of wanted items, a one-row table.
+    """
+    named = [c for c in judged.columns if c != "_found"]
+    if s.max_rows is None:
+        return judged.select(*named, F.col("_found.stage").alias("stage"),
+                             F.col("_found.reason").alias("reason"))
     open_rows = F.col("_found").isNull() & F.col("wanted").isNull()
-    n_wanted = judged.filter(F.col("_found").isNull()
-                             & F.col("wanted").isNotNull()).count()
-    room = max(0, s.max_rows - n_wanted)
-    best = (judged.filter(open_rows)
-            .orderBy(F.desc("opportunity_score"), "row_id").limit(room)
+    taken = judged.agg(F.count_if(
+        F.col("_found").isNull() & F.col("wanted").isNotNull())
+        .alias("_taken"))
+    order = [F.desc("opportunity_score"), F.asc("row_id")]
+    # max_rows rows at most: one window over them is intended
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
+    best = (judged.filter(open_rows).select("opportunity_score", "row_id")
+            .orderBy(*order).limit(s.max_rows).withColumn("_place", place)
+            .join(F.broadcast(taken), F.col("_place") <= F.lit(s.max_rows)
+                  - F.col("_taken"))
             .select("row_id", F.lit(True).alias("_fits")))
     out = judged.join(best, "row_id", "left")
     over = open_rows & F.col("_fits").isNull()
     return out.select(
-        *[c for c in judged.columns if c != "_found"],
+        *named,
         F.when(over, STAGES[4]).otherwise(F.col("_found.stage")
                                           ).alias("stage"),
         F.when(over, "below row cap").otherwise(F.col("_found.reason")

@@ -90,8 +90,9 @@ CLASSED = f"""{GATED}, st AS (SELECT *, CASE
  reason, {trade_sql(below='(st0 IS NULL AND low)')} AS trade FROM (SELECT *,
  st0 IS NULL AND wanted IS NULL AND place > 1000 - (SELECT count(*) FROM st
  WHERE st0 IS NULL AND wanted IS NOT NULL) AS over FROM cp))"""
-# A decision floor above the browse floor, so that the marker is used.
-STRICT = replace(DEFAULT, decision_floor=900.0)
+# A decision floor above the browse floor, so that the marker is used, and a
+# stated report size.
+STRICT = replace(DEFAULT, decision_floor=900.0, max_rows=1000)
 
 
 def classified(spark, sf_dir):

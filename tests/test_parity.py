@@ -28,8 +28,8 @@ def test_every_check_sql_has_a_query():
 
 def test_unbuilt_survey_operators_are_not_claimed():
     claimed = {i for ids in COVERS.values() for i in ids.split()}
-    assert not claimed & {"S11", "S18", "J8"}
-    assert {"V1", "W1", "J5"} <= claimed
+    assert not claimed & {"S18"}
+    assert {"V1", "W1", "J5", "J8"} <= claimed
 
 
 def test_appraisal_values_each_item_once(spark, sf_dir):
@@ -39,3 +39,14 @@ def test_appraisal_values_each_item_once(spark, sf_dir):
     priced = rows.filter(F.col("fair_value") > 0)
     assert priced.count() > 0
     assert priced.filter(~F.col("confidence").between(0, 1)).count() == 0
+    # the steps behind the value take effect
+    assert rows.filter("evidence = 'targeted'").count() > 0
+    assert rows.filter("wanted IS NOT NULL").count() > 0
+    assert rows.filter("notes LIKE '%STALE COMPS%'").count() > 0
+    assert rows.filter("stage IS NULL").count() > 0
+    assert rows.filter("(stage IS NULL) <> (reason IS NULL)").count() == 0
+    asks = QUERIES["compatible_asks"](spark, sf_dir).select(
+        "row_id", F.col("asks").alias("most"))
+    # only rows that passed the relevance rules are asks in the chain
+    assert rows.join(asks, "row_id", "left").filter(
+        "asks > coalesce(most, 0)").count() == 0
