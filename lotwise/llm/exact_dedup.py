@@ -118,7 +118,7 @@ def drop_copies(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
                    F.col("n").alias("_n")))
     rows = docs.withColumn("_digest", text_digest())
     found = rows.join(
-        won.hint("shuffle_hash"),
+        won,
         F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
         & (rows["_digest"] == won["_digest"])).drop(won["_digest"])
     once = found.filter("_n = 1").select(*names)

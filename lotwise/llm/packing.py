@@ -27,7 +27,7 @@ import re
 import unicodedata
 import zlib
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,10 @@ PIECE = 1024
 GROUP = 256
 #: Bytes of text that are encoded together.
 SEGMENT = 6 << 20
-#: Words, and parts of words, that a worker remembers.
-WORDS, PARTS_KEPT = 800_000, 800_000
+#: Words, and parts of words, that a worker remembers: about 150 MB.
+WORDS, PARTS_KEPT = 600_000, 300_000
+#: Parts of words that are encoded as one text.
+JOINED = 2000
 COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(),
            "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
            "sequence_id": pa.int64(), "offset": pa.int64()}
@@ -79,6 +81,9 @@ class WordIds:
     #: The tokenizer's own cut of lower-case ASCII words (fixed value). White
     #: space is spelt out: Python's \s has U+001C to U+001F besides.
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+    #: ASCII without space, or Latin letters that are one character each in
+    #: any normal form C and case.
+    PLAIN = re.compile(r"[!-~]+|[a-zA-Z\xC0-\xD6\xD8-\xDE\xE0-\xF6\xF8-\xFE]+")
     TAIL = re.compile(r"[!-/:-@\[-`{-~]+$")
 
     def __init__(self, path: str):
@@ -105,15 +110,41 @@ class WordIds:
             return [word[:tail.start()], tail[0]]
         return [word]
 
+    def joined(self, parts: list[str]) -> bool:
+        """Encode parts as one text; False if they aren't one word each.
+
+        Each part is a run of letters, a digit or a run of signs and stands
+        between spaces, so the tokenizer's words are the parts.
+        """
+        if not parts:
+            return False
+        text = self.model.encode(" ".join(parts), add_special_tokens=False)
+        of = np.array(text.word_ids, np.int64)
+        ends = np.searchsorted(of, np.arange(len(parts)), "right")
+        if not len(of) or of[-1] != len(parts) - 1 or (
+                np.diff(ends, prepend=0) <= 0).any():
+            return False
+        raw = np.array(text.ids, "<u4").tobytes()
+        cuts = [0, *(4 * ends).tolist()]
+        self.parts.update(zip(parts, map(
+            raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        return True
+
     def learn(self, words: list[str]) -> None:
         cuts = [self.cut(w) for w in words]
         if len(self.parts) > PARTS_KEPT:
             self.parts.clear()
         new = list(set(chain.from_iterable(cuts)).difference(self.parts))
-        self.parts.update(zip(new, (
-            np.array(x.ids, "<u4").tobytes()
-            for x in self.model.encode_batch_fast(
-                new, add_special_tokens=False)), strict=True))
+        for at in range(0, len(new), JOINED):
+            some = new[at:at + JOINED]
+            plain = [x for x in some if self.PLAIN.fullmatch(x)
+                     and "<|" not in x]
+            if self.joined(plain):
+                some = [x for x in some if x not in self.parts]
+            self.parts.update(zip(some, (
+                np.array(x.ids, "<u4").tobytes()
+                for x in self.model.encode_batch_fast(
+                    some, add_special_tokens=False)), strict=True))
         get = self.parts.__getitem__
         ids = [get(c[0]) if len(c) == 1 else b"".join(map(get, c))
                for c in cuts]
@@ -138,15 +169,15 @@ class WordIds:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        get = self.number.get
-        new = [w for w in words if get(w) is None]
+        number = np.fromiter(map(self.number.get, words, repeat(-1)),
+                             np.int64, len(words))
+        new = np.flatnonzero(number < 0)
         if len(self.number) + len(new) > WORDS:
             self.forget()
-            new = words
-        if new:
-            self.learn(new)
-        number = np.fromiter(map(self.number.__getitem__, words), np.int64,
-                             len(words))
+            new = np.arange(len(words))
+        if len(new):
+            number[new] = len(self.number) + np.arange(len(new))
+            self.learn([words[i] for i in new.tolist()])
         at = number[coded.indices.to_numpy()]
         lengths = self.lengths[at]
         sums = np.concatenate([[0], np.cumsum(lengths)])
