@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..config import DEFAULT
 from ..operators import basket, close_model, gates, history, ledger, rank
-from ..sources.adapters import AS_OF, EVENTS_AS_OF, ctes, view
+from ..sources.adapters import AS_OF, EVENTS_AS_OF, at, ctes, view
+from ..streaming import timers
 from . import duck
 from .comp_queries import now
 from .listing_queries import KEY_SQL, price_sql
@@ -382,6 +383,37 @@ def breaker_trips(spark, sf_dir):
     return history.breaker_trips(view(spark, sf_dir, "calls"))
 
 
+@query("bidding_sessions", "R9", f"""{ctes('observations')}, g AS (SELECT *,
+ CASE WHEN observed_s - lag(observed_s) OVER w < 1800 THEN 0 ELSE 1 END AS new
+ FROM observations WINDOW w AS (PARTITION BY item_id ORDER BY observed_s, seq)),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY observed_s, seq)
+ AS k FROM g)
+SELECT item_id, min(observed_s) AS start_s, max(observed_s) AS last_s, count(*)
+ AS snapshots, min(price) AS low, max(price) AS high, max(bids) - min(bids) AS
+ bids_gained FROM s GROUP BY item_id, k""")
+def bidding_sessions(spark, sf_dir):
+    """Bursts of observations per auction, half an hour apart at most."""
+    rows = view(spark, sf_dir, "observations").withColumn(
+        "observed_at", at("observed_s"))
+    return timers.sessions(rows).select(
+        "item_id", F.unix_seconds("start_at").alias("start_s"),
+        F.unix_seconds("last_at").alias("last_s"), "snapshots", "low", "high",
+        "bids_gained")
+
+
+@query("ending_reminders", "R6", f"""{ctes('observations')}, h AS (SELECT *,
+ lead(observed_s) OVER (PARTITION BY item_id ORDER BY observed_s, seq) AS nxt
+ FROM observations), d AS (SELECT *, greatest(observed_s, end_s - hours * 3600)
+ AS due_s FROM h CROSS JOIN (VALUES (24), (6), (1)) AS v(hours)), f AS (SELECT
+ *, row_number() OVER (PARTITION BY item_id, hours ORDER BY due_s, observed_s,
+ seq) AS n FROM d WHERE end_s IS NOT NULL AND due_s < end_s AND (nxt IS NULL OR
+ due_s < nxt))
+SELECT item_id, hours, due_s, price FROM f WHERE n = 1""")
+def ending_reminders(spark, sf_dir):
+    """When each auction was first known to end within 24, 6 and 1 hours."""
+    return timers.reminders_batch(view(spark, sf_dir, "observations"))
+
+
 @query("latest_observation", "R3 A17", f"""{ctes('observations')}
 SELECT item_id, arg_max(price, seq) AS price, arg_max(bids, seq) AS bids,
  max(seq) AS seq FROM observations GROUP BY item_id""")

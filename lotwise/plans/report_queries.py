@@ -208,6 +208,41 @@ def collapsed_assets(spark, sf_dir):
         "row_id", "others", "others_from")
 
 
+def similar_sql() -> str:
+    """Clusters by all pairs of a block and their transitive closure."""
+    from .comp_queries import score_sql
+    clash = " OR ".join(f"coalesce(a.{f} <> b.{f}, false)" for f in (
+        "holo", "edition", "series", "completeness"))
+    return f"""{ctes('valued').replace('WITH ', 'WITH RECURSIVE ', 1)}, g AS
+ (SELECT *, {GI} AS gi, current_price + shipping AS cost FROM valued), k AS
+ MATERIALIZED (SELECT *, concat_ws('~', query, listing_type, coalesce(CAST(
+ {duck.effective('gi.grader', 'gi.grade')} AS VARCHAR), 'raw')) AS block
+ FROM g), vt AS (SELECT DISTINCT title FROM k),
+ {duck.identity('vt', 'title', 'i')}, bt AS MATERIALIZED (SELECT DISTINCT
+ k.block, i.* FROM k JOIN i USING (title)), ln AS MATERIALIZED (SELECT a.block,
+ a.title AS x, b.title AS y FROM bt a JOIN bt b ON a.block = b.block AND
+ a.title <> b.title WHERE (len(a.subject_all) = 0 OR len(b.subject_all) = 0 OR
+ list_has_any(a.subject_all, b.subject_all)) AND NOT ({clash}) AND
+ {score_sql('a', 'b')} >= 6e-1), un AS MATERIALIZED (SELECT block, x, y FROM ln
+ UNION SELECT block, y, x FROM ln), cl AS (SELECT block, title AS x, title AS y
+ FROM bt UNION SELECT cl.block, cl.x, un.y FROM cl JOIN un ON un.block =
+ cl.block AND un.x = cl.y), id AS (SELECT block, x, min(y) AS cluster FROM cl
+ GROUP BY 1, 2), r AS (SELECT k.*, id.cluster, row_number() OVER w AS n,
+ count(*) OVER (PARTITION BY k.block, id.cluster) AS c FROM k JOIN id ON
+ id.block = k.block AND id.x = k.title WINDOW w AS (PARTITION BY k.block,
+ id.cluster ORDER BY expected_value DESC, cost, row_id))
+SELECT max(CASE WHEN n = 1 THEN row_id END) AS row_id, max(c) - 1 AS others,
+ min(CASE WHEN n > 1 THEN cost END) AS others_from FROM r
+ GROUP BY block, cluster"""
+
+
+@query("similar_listings", "W9", similar_sql())
+def similar_listings(spark, sf_dir):
+    """One row per card across sellers who name it differently."""
+    return report.collapse_similar(valued(spark, sf_dir)).select(
+        "row_id", "others", "others_from")
+
+
 TRADE = f"{ctes('valued')}, v AS (SELECT *, {trade_sql()} AS trade FROM valued)"
 
 
