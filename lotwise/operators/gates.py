@@ -14,12 +14,20 @@ from ..functions.text import contains_any
 from . import rank
 from .fair import has_note, value_floor
 
+# ---------------------------------------------------------------- fixed values
+# Note codes that bar a row, and the reasons that readers of reports filter on.
 BLOCKERS = (("ASK-BASED", "ask-based valuation"),
             ("MIXED POOL", "mixed comp pool"),
             ("SUSPICIOUS", "suspicious listing"),
             ("BELOW DECISION FLOOR", "below decision value floor"),
             ("IDENTITY UNRESOLVED", "card identity not resolved"),
             ("STALE COMPS", "comp evidence frozen by a blocked source"))
+DISCOVERY, NO_VALUE = "discovery query", "no fair value"
+DISPUTED, REGRADED = "disputed valuation", "listing-specific regrade"
+OUTSIDE = "outside collection standards"
+LOW_TRUST = "fair value below trust floor"
+THIN = "too few matched comps"
+# ------------------------------------------------------------ end fixed values
 UNRESOLVED = ("IDENTITY UNRESOLVED", "MIXED POOL", "ASK-BASED")
 STAGES = ("Fair-value floor", "ROI sanity ceiling", "Collection standards",
           "Output economics", "Report row cap")
@@ -32,24 +40,21 @@ def note_blocker() -> Column:
 
 
 def tradeability() -> Column:
-    return (F.when(F.col("discovery"), "discovery query")
-            .when(F.coalesce(F.col("fair_value"), F.lit(0.0)) <= 0,
-                  "no fair value")
-            .when(F.col("disputed"), "disputed valuation")
+    return (F.when(F.col("discovery"), DISCOVERY)
+            .when(F.coalesce(F.col("fair_value"), F.lit(0.0)) <= 0, NO_VALUE)
+            .when(F.col("disputed"), DISPUTED)
             .otherwise(note_blocker()))
 
 
 def evidence(s: Settings = DEFAULT) -> Column:
     fair = F.coalesce(F.col("fair_value"), F.lit(0.0))
-    return (F.when(F.col("discovery"), "discovery query")
-            .when(collection(s).isNotNull(), "outside collection standards")
-            .when(fair <= 0, "no fair value")
-            .when(fair < s.learner_min_fair,
-                  "fair value below trust floor")
-            .when(F.col("n_comps") < s.min_specific_comps,
-                  "too few matched comps")
-            .when(F.col("regraded"), "listing-specific regrade")
-            .when(F.col("disputed"), "disputed valuation")
+    return (F.when(F.col("discovery"), DISCOVERY)
+            .when(collection(s).isNotNull(), OUTSIDE)
+            .when(fair <= 0, NO_VALUE)
+            .when(fair < s.learner_min_fair, LOW_TRUST)
+            .when(F.col("n_comps") < s.min_specific_comps, THIN)
+            .when(F.col("regraded"), REGRADED)
+            .when(F.col("disputed"), DISPUTED)
             .otherwise(note_blocker()))
 
 

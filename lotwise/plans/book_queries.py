@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..config import DEFAULT
-from ..operators import basket, close_model, gates, history, ledger, rank
+from ..operators import (basket, close_model, gates, history, learning, ledger,
+                         rank)
 from ..sources.adapters import AS_OF, EVENTS_AS_OF, at, ctes, view
 from ..streaming import timers
 from . import duck
@@ -495,3 +496,59 @@ def close_model_query(spark, sf_dir):
     fitted = close_model.model().fit(kept)
     return close_model.predict(fitted, history.per_item(kept)).select(
         "item_id", "target", "predicted_ratio")
+
+
+# Learning runs: before the first close, early, in mid-month and at the end.
+RUNS = (1703000000, 1704500000, 1705276800, 1706745600)
+VERSIONS = f"""{ctes('observations', 'closed')}, runs(run_s) AS (VALUES {
+    ', '.join(f'({r})' for r in RUNS)}), kept AS (SELECT o.*, c.closed_s,
+ c.actual_price / o.fair AS target FROM observations o JOIN closed c USING
+ (item_id) WHERE o.fair >= 50 AND c.actual_price > 0 AND o.n_comps >= 3 AND
+ o.trusted = 1 AND c.actual_price / o.fair BETWEEN 0.1 AND 3), kn AS (SELECT
+ run_s, k.* FROM runs JOIN kept k ON k.closed_s <= run_s), it AS (SELECT *,
+ CASE WHEN fair < 500 THEN 'lt500' WHEN fair < 2000 THEN '500to2000' ELSE
+ 'gte2000' END AS band FROM (SELECT *, row_number() OVER (PARTITION BY run_s,
+ item_id ORDER BY n_comps DESC, observed_s DESC, seq) AS rn FROM kn) WHERE rn =
+ 1), me AS (SELECT run_s, band, count(*) AS n, list_sort(list(target))[
+ count(*) // 2 + 1] AS ratio FROM (SELECT run_s, band, target FROM it UNION ALL
+ SELECT run_s, 'all', target FROM it) GROUP BY 1, 2), ev AS (SELECT run_s, n,
+ ratio FROM me WHERE band = 'all'), er AS (SELECT run_s, CAST(sum(CAST(abs(
+ target - ratio) AS DECIMAL(28,12))) AS DOUBLE) / count(*) AS mae FROM it JOIN
+ ev USING (run_s) GROUP BY 1), sn AS (SELECT run_s, count(*) AS n_snapshots FROM
+ kn GROUP BY 1), bd AS (SELECT run_s, {', '.join(
+     f"max(CASE WHEN band = '{b}' AND n >= 20 THEN ratio END) AS r_{b}"
+     for b in learning.BANDS)} FROM me GROUP BY 1),
+ versions AS (SELECT run_s, coalesce(n, 0) AS n, coalesce(n_snapshots, 0) AS
+ n_snapshots, CASE WHEN n >= 20 THEN ratio END AS settle_ratio, {', '.join(
+     f'CASE WHEN n >= 20 THEN r_{b} END AS ratio_{b}'
+     for b in learning.BANDS)}, CASE WHEN n >= 20 THEN mae END AS
+ parametric_mae, CASE WHEN NOT coalesce(n >= 20, false) THEN 'cold start' WHEN
+ n < 150 THEN 'too few items' ELSE 'not validated' END AS verdict FROM runs LEFT
+ JOIN ev USING (run_s) LEFT JOIN er USING (run_s) LEFT JOIN sn USING (run_s)
+ LEFT JOIN bd USING (run_s))"""
+
+
+def versions(spark, sf_dir):
+    runs = spark.createDataFrame([(r,) for r in RUNS], "run_s long")
+    return learning.parameters(snapshots(spark, sf_dir), runs)
+
+
+@query("learned_parameters", "M4 A10", f"{VERSIONS} SELECT * FROM versions")
+def learned_parameters(spark, sf_dir):
+    """What each learning run would have learned from the closes so far."""
+    return versions(spark, sf_dir).drop("cv_error", "deployed")
+
+
+@query("settle_ratios_as_of", "M5", f"""{VERSIONS}, u AS (SELECT *, lead(run_s)
+ OVER (ORDER BY run_s) AS until FROM versions)
+SELECT seq, u.run_s, coalesce(CASE WHEN fair < 500 THEN coalesce(ratio_lt500,
+ settle_ratio) WHEN fair < 2000 THEN coalesce(ratio_500to2000, settle_ratio)
+ ELSE coalesce(ratio_gte2000, settle_ratio) END, 92e-2) AS settle_ratio FROM
+ observations LEFT JOIN u ON observed_s >= run_s AND (until IS NULL OR
+ observed_s < until)""")
+def settle_ratios_as_of(spark, sf_dir):
+    """The ratio that held when each observation was made."""
+    rows = view(spark, sf_dir, "observations")
+    return learning.predicted(learning.with_settle(
+        rows, versions(spark, sf_dir), "observed_s", "fair")).select(
+        "seq", "run_s", F.col("predicted_ratio").alias("settle_ratio"))

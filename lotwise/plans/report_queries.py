@@ -146,6 +146,18 @@ def value_collisions(spark, sf_dir):
     return gates.collisions(rows)
 
 
+@query("research_view", "K8", f"""{RESEARCH}
+SELECT r.row_id, r.stage, r.reason, CASE WHEN v.listing_type = 'fixed' AND
+ v.best_offer THEN 'BIN+OBO' WHEN v.listing_type = 'fixed' THEN 'BIN' ELSE
+ 'AUCTION' END AS kind, v.title, v.n_comps FROM research r JOIN valued v USING
+ (row_id)""")
+def research_view(spark, sf_dir):
+    """Why each row is not in the report, or not to be acted on."""
+    return report.research_view(gates.research(classified(
+        spark, sf_dir))).select("row_id", "stage", "reason", "kind", "title",
+                                "n_comps")
+
+
 @query("sports_coverage", "A13", f"""{RESEARCH}, sp AS (SELECT * FROM classed
  WHERE category IN ('Sports Cards', 'Sports Memorabilia')), fu AS (SELECT
  query, count(*) AS valued, count(CASE WHEN match IN ('exact', 'strong') AND
@@ -194,6 +206,20 @@ def unresolved_cap(spark, sf_dir):
     return report.cap_unresolved(rows).select("row_id")
 
 
+@query("book_views", "K8 W8", f"""{ctes('valued')}, pg AS (SELECT *, unnest(
+ list_filter([CASE WHEN set_need THEN 'Set needs' END, CASE WHEN wanted IS NULL
+ AND NOT discovery THEN category END, CASE WHEN wanted IS NULL AND discovery
+ THEN 'Discovery' END], lambda x: x IS NOT NULL)) AS view FROM valued), r AS
+ (SELECT *, {UNRES} AS u, {INTEREST} AS interest FROM pg)
+SELECT view, row_id, u AS open_last, interest FROM (SELECT *, row_number() OVER
+ (PARTITION BY view, query, round(fair_value, 2), u ORDER BY interest DESC,
+ row_id) AS n FROM r) WHERE NOT u OR n <= 3 OR view = 'Set needs'""")
+def book_views(spark, sf_dir):
+    """Set needs, one page per category, discovery."""
+    return report.book_views(valued(spark, sf_dir)).select(
+        "view", "row_id", "open_last", "interest")
+
+
 @query("collapsed_assets", "W9", f"""{ctes('valued')}, g AS (SELECT *, {GI} AS
  gi, current_price + shipping AS cost FROM valued), k AS (SELECT *, coalesce(
  CAST({duck.effective('gi.grader', 'gi.grade')} AS VARCHAR), 'raw') AS gr

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..config import DEFAULT
 from ..functions import identity, text
-from ..operators import planning, rank, resolve, wanted
+from ..operators import planning, rank, relevance, resolve, wanted
 from ..sources import feeds, guide_files, targets
 from ..sources.adapters import ctes, table, view
 from . import duck
@@ -299,6 +299,16 @@ def new_wanted_queries(spark, sf_dir):
         spark, sf_dir, "standing_queries")).select("name")
 
 
+@query("sweep_queries", "S18", f"""{ctes('standing_queries')}, g AS (SELECT *,
+ list_filter({duck.grade_tokens('lower(query)')}, lambda x: x.grade IS NOT
+ NULL)[1] AS gi FROM standing_queries)
+SELECT query FROM g WHERE priority OR gi IS NOT NULL""")
+def sweep_queries(spark, sf_dir):
+    """Queries of a fixed-price sweep: priority ones and those with a grade."""
+    return relevance.sweep_queries(view(spark, sf_dir, "standing_queries")
+                                   ).select("query")
+
+
 @query("warm_queries", "K7", f"""{ctes('standing_queries', 'sales')}
 SELECT query, ord FROM standing_queries WHERE NOT priority AND query NOT IN
  (SELECT query FROM sales WHERE site = 'ebay' AND price > 2000) ORDER BY ord,
@@ -344,7 +354,7 @@ def targeted_lookups(spark, sf_dir):
                                                    "cost")
 
 
-@query("class_histogram", "A22 A23", f"""{TITLES},
+@query("class_histogram", "A23", f"""{TITLES},
  {duck.identity('titles', 'title', 'i')}, c AS (SELECT object_class,
  {duck.category('query', 'object_class')} AS category FROM i)
 SELECT object_class, category, count(*) AS titles FROM c GROUP BY 1, 2""")
@@ -369,7 +379,7 @@ def corpus_invariants(spark, sf_dir):
     return planning.invariants(rows, quotes)
 
 
-@query("source_precedence", "J21", f"""{ctes('valued')}, q AS (SELECT title,
+@query("source_precedence", "", f"""{ctes('valued')}, q AS (SELECT title,
  category, CASE WHEN bid_count % 2 = 0 THEN 'local' ELSE 'remote' END AS source,
  confidence AS score, match IN ('exact', 'strong') AND guide_value IS NOT NULL
  AS landed, row_id FROM valued), m AS (SELECT title, category, source,

@@ -420,3 +420,32 @@ def test_trailing_velocity(spark):
         "sold": [5, 7, 9]}))
     out = jobs.trailing_velocity(daily, F.to_date(F.lit("2024-02-01")))
     assert out.first()["sales_per_month"] == 8.0
+
+
+def test_pairs_met_grow_slower_than_the_catalogue(spark):
+    """Twice the products, not twice the pairs, and always the exact best."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(12)]
+    phrases = [" ".join(rng.sample(words, 5)) for _ in range(20)]
+    phrases += ["w1", "w1 w2", "none of these", f"w3 w4 {words[5]} rare7"]
+    df = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    met = []
+    for n in (400, 800, 1600):
+        rows = [(i, " ".join(random.Random(i).sample(words, 4)), f"rare{i}")
+                for i in range(n)]
+        catalogue = spark.createDataFrame(
+            rows, "product_id long, product_name string, console_name string")
+        got = {}
+        for r in candidates.candidates(df, catalogue, keep=5).collect():
+            got.setdefault(r["phrase"], []).append(
+                (-r["shared"], r["product_id"]))
+        sets = [(i, {*a.split(), b}) for i, a, b in rows]
+        for p in phrases:
+            best = sorted((-len({*p.split()} & t), i) for i, t in sets)[:5]
+            assert sorted(got.get(p, [])) == [b for b in best if b[0]], p
+        asked = candidates.numbered(df, "phrase").select("id",
+                                                         "phrase_tokens")
+        met.append(candidates.meeting_pairs(
+            asked, candidates.product_tokens(catalogue), 5)[1].count())
+    assert met[2] < 2 * met[1] and met[1] < 2 * met[0]
+    assert met[2] < 0.25 * len(phrases) * 1600
