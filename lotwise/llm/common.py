@@ -23,6 +23,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that a table may have to be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Copies of a repeated row that one step of a task may make.
+COPIES = 10_000
 #: Entries that a worker's word cache holds before it starts afresh.
 CACHE = 250_000
 #: Rows that Arrow functions hand on in one batch.
@@ -81,6 +83,25 @@ def ordered(rows: DataFrame, by: list[str | Column], label: str) -> DataFrame:
             .drop("_part", "_row", "_base"))
 
 
+def expanded(rows: DataFrame, n: str, copy: str) -> DataFrame:
+    """Each row n times, its copies numbered from 0.
+
+    rows must be stored. Rows of more than COPIES copies are cut into chunks
+    that are dealt out, so neither an array nor a task holds them all.
+    """
+    few = rows.filter(F.col(n) <= COPIES).withColumn(copy, F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    chunk = F.col("_chunk")
+    many = (rows.filter(F.col(n) > COPIES)
+            .withColumn("_chunk", F.explode(F.sequence(
+                F.lit(0).cast("long"), F.expr(f"({n} - 1) div {COPIES}"))))
+            .repartition("_chunk")
+            .withColumn(copy, F.explode(F.sequence(
+                chunk * COPIES, F.least((chunk + 1) * COPIES, F.col(n)) - 1)))
+            .drop("_chunk"))
+    return few.unionByName(many)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and whole text (null: empty), whatever else docs carries."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

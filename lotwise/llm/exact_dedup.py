@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, texts
+from .common import SPACE, expanded, stored, texts
 from .registry import query, table
 
 #: Counters of a Misra-Gries summary, and so the most broadcast digests.
@@ -95,10 +95,7 @@ def exact_groups(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    each = F.posexplode(F.array_repeat(F.lit(True), F.col("n").cast("int")))
-    return (exact_groups(docs, k)
-            .select("doc_id", "keep_id", "group_size", "digest",
-                    each.alias("copy", "x"))
+    return (expanded(stored(exact_groups(docs, k), "groups"), "n", "copy")
             .select("doc_id", "keep_id", "group_size",
                     ((F.col("copy") == 0) & F.col("doc_id").eqNullSafe(
                         F.col("keep_id"))).alias("kept"),

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import expanded, stored
 from .registry import query, table
 
 PER_RANGE, LEAST_RANGES, MOST_RANGES = 20_000, 192, 16_384
@@ -144,15 +144,14 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
                      F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0")))
     inside = (Window.partitionBy("range").orderBy("key", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
-    copy = F.posexplode(F.array_repeat(F.lit(0), F.col("n").cast("int")))
     placed = (found.withColumn("b1", F.coalesce(F.sum(mass).over(inside),
                                                 F.lit(0)))
               .withColumn("c1", F.coalesce(F.sum("n").over(inside), F.lit(0)))
               .join(F.broadcast(bases), "range")
-              .select("doc_id", "size", "text_crc32",
+              .select("doc_id", "size", "text_crc32", "n",
                       (F.col("b0") + F.col("b1")).alias("byte"),
-                      (F.col("c0") + F.col("c1")).alias("row"),
-                      copy.alias("copy", "x"))
+                      (F.col("c0") + F.col("c1")).alias("row")))
+    placed = (expanded(stored(placed, "positions"), "n", "copy")
               .withColumn("middle", 2 * (F.col("byte") + F.col("copy")
                                          * F.col("size")) + F.col("size"))
               .select("doc_id", "size", "text_crc32",

@@ -22,8 +22,8 @@ one pack and one block. Per pack and query k rows leave a task.
 Defined cases: null vectors and those with null or non-finite components take
 no part, nor do rows without vec_id; a row repeated with its vec_id counts
 once, and rows of the query's vec_id are never its candidates; vectors of
-different lengths are compared as if padded with zeros; components are clipped
-to 32 bits after scaling; ties go to the smaller vec_id; other columns are
+different lengths are compared as if padded with zeros; components are exact up to
+2^53 after scaling and clipped there; ties go to the smaller vec_id; other columns are
 ignored.
 """
 from __future__ import annotations
@@ -37,6 +37,8 @@ from .common import stored
 from .registry import query, table
 
 SCALE = 256
+#: Largest whole number up to which doubles hold all.
+LARGEST = 2.0 ** 53
 SAMPLE, PIVOTS, RINGS = 4096, 16, 8
 PACK, BLOCK = 4096, 512
 
@@ -46,8 +48,8 @@ def integers(vectors: DataFrame) -> DataFrame:
     usable = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)
                        | (F.abs(x) == float("inf")))
     whole = F.transform("embedding", lambda x: F.greatest(
-        F.lit(-(2.0 ** 31)), F.least(F.lit(2.0 ** 31 - 1), F.floor(
-            x.cast("double") * SCALE).cast("double"))).cast("int"))
+        F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(
+            x.cast("double") * SCALE).cast("double"))).cast("long"))
     return (vectors.filter(F.col("embedding").isNotNull()
                            & F.col("vec_id").isNotNull() & usable)
             .select(F.col("vec_id").cast("long").alias("vec_id"),
@@ -201,7 +203,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, sample: int = SAMPLE,
                 names=["vec_id", "x", "cell", "dist", "norm"])
 
     keyed = stored(rows.mapInArrow(
-        key, "vec_id long, x array<int>, cell int, dist double, norm double"),
+        key, "vec_id long, x array<long>, cell int, dist double, norm double"),
         "index")
     # at most pivots * rings rows
     stats = keyed.groupBy("cell").agg(
@@ -235,10 +237,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, sample: int = SAMPLE,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(chosen, pa.int32()),
                      pa.array([ids] * n, pa.list_(pa.int64())),
-                     pa.array([q] * n, pa.list_(pa.list_(pa.int32())))],
+                     pa.array([q] * n, pa.list_(pa.list_(pa.int64())))],
                     names=["cell", "ids", "qs"])
 
-    form = "cell int, ids array<long>, qs array<array<int>>"
+    form = "cell int, ids array<long>, qs array<array<long>>"
     first = best_of(blocks.select("ids", "qs").mapInArrow(
         lambda b: visits(b, False), form), packs, k, width)
     floor = (first.groupBy("query_id").agg(

@@ -279,3 +279,22 @@ def test_empty(frame):
     for f in (exact_dedup, drop_copies, near_groups, drop_near_copies,
               repeated_passages, shard, lambda d: pack(d, TOKENS)):
         assert f(none).count() == 0
+
+
+def test_hot_repeated_rows_are_written_in_chunks(frame, monkeypatch):
+    from lotwise.llm import common
+    monkeypatch.setattr(common, "COPIES", 7)
+    rows = [(1, "hot")] * 50 + [(2, "hot")] * 7 + [(3, "x")] + [(None, "y")] * 9
+    got = Counter(tuple(r) for r in exact_dedup(frame(rows)).collect())
+    keep = {t: min((i for i, u in rows if u == t and i), default=None)
+            for t in ("hot", "x", "y")}
+    assert sum(got.values()) == len(rows)
+    assert Counter((r[0], r[1], r[2]) for r in got.elements()) == Counter(
+        (i, keep[t], sum(u == t for _, u in rows)) for i, t in rows)
+    assert sum(r[3] for r in got.elements()) == 3
+    out = shard(frame(rows)).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())

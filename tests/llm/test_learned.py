@@ -238,6 +238,28 @@ def test_top_k(spark, pivots):
     assert top_k(df.filter("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_large_components_in_many_packs(spark, monkeypatch):
+    from lotwise.llm import topk_search
+    monkeypatch.setattr(topk_search, "PACK", 16)
+    monkeypatch.setattr(topk_search, "BLOCK", 4)
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.normal(size=3).tolist()) for i in range(120)]
+    # scaled components beyond 32 bits
+    rows += [(200 + i, [2.0 ** 24 + i, -1.0, 0.25]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 10 == 0,
+                                         pivots=3, rings=2).collect())
+    whole = {i: [int(np.floor(256 * v)) for v in x] for i, x in rows}
+    want = []
+    for q in whole:
+        if q % 10 == 0:
+            order = sorted((-sum(a * b for a, b in zip(
+                whole[q], whole[x], strict=True)), x)
+                for x in whole if x != q)[:5]
+            want += [(q, k, x, -s) for k, (s, x) in enumerate(order, 1)]
+    assert got == sorted(want)
+
+
 def test_pieces(spark, frame, odd_rows):
     import sentencepiece
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
