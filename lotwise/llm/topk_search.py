@@ -23,7 +23,7 @@ Defined cases: null vectors and those with null or non-finite components take
 no part, nor do rows without vec_id; a row repeated with its vec_id counts
 once, and rows of the query's vec_id are never its candidates; vectors of
 different lengths are compared as if padded with zeros; components are exact up to
-2^53 after scaling and clipped there; ties go to the smaller vec_id; other columns are
+2^53 after scaling and clipped there, scores must fit 64 bits; ties go to the smaller vec_id; other columns are
 ignored.
 """
 from __future__ import annotations

@@ -245,7 +245,7 @@ def test_top_k_of_large_components_in_many_packs(spark, monkeypatch):
     draw = np.random.default_rng(2)
     rows = [(i, draw.normal(size=3).tolist()) for i in range(120)]
     # scaled components beyond 32 bits
-    rows += [(200 + i, [2.0 ** 24 + i, -1.0, 0.25]) for i in range(4)]
+    rows += [(200 + i, [2.0 ** 23 + i, -1.0, 0.25]) for i in range(4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 10 == 0,
                                          pivots=3, rings=2).collect())
