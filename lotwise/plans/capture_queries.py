@@ -25,7 +25,9 @@ SHOWN = f"""SELECT {SITE} AS site, CONCAT(query, '~', copy) AS page_id, row_id,
 
 def shown_pages(spark, sf_dir):
     """(site, page_id, html): result pages with the lots of a query."""
-    rows = spark.sql(SHOWN, listings=view(spark, sf_dir, "listings"))
+    # the joined keys outgrow 64 bits where each of them is still short
+    wide = SHOWN.replace("AS BIGINT) AS k", "AS DECIMAL(38, 0)) AS k")
+    rows = spark.sql(wide, listings=view(spark, sf_dir, "listings"))
     title = F.replace("title", F.lit("&"), F.lit("&amp;"))
     price = F.coalesce(F.col("price").cast("string"), F.lit("soon"))
     lot, bids, end = (F.col(c).cast("string") for c in ("lot", "bids",

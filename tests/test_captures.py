@@ -1,4 +1,6 @@
 """Rule-driven page extraction and venue costs."""
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,17 @@ def test_venue_costs_fill_blanks_only(spark):
     # 100 + 8 domestic + 10 proxy + 35 abroad + 1 + 15 + 3
     assert sorted(got) == pytest.approx(sorted(
         [172.0, 164.0, 129.0, 104.0]))
+
+
+def test_lots_of_keys_beyond_64_bits(spark, sf_dir, monkeypatch):
+    """Row ids of large tables join to more than 19 digits."""
+    from lotwise.plans import capture_queries
+    rows = capture_queries.view(spark, sf_dir, "listings").limit(40)
+    wide = rows.withColumn("row_id", F.concat(
+        F.lit("9000000-1-1200000-6"), F.lpad(
+            F.substring_index("row_id", "-", 1), 6, "0"))).cache()
+    monkeypatch.setattr(capture_queries, "view", lambda *_: wide)
+    keys = {int(r["row_id"].replace("-", "")) for r in wide.collect()}
+    seen = {int(n) for r in capture_queries.shown_pages(spark, sf_dir)
+            .collect() for n in re.findall(r"(\d{20,})", r["html"])}
+    assert seen == keys and min(keys) > 2 ** 63
