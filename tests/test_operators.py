@@ -449,3 +449,16 @@ def test_pairs_met_grow_slower_than_the_catalogue(spark):
             asked, candidates.product_tokens(catalogue), 5)[1].count())
     assert met[2] < 2 * met[1] and met[1] < 2 * met[0]
     assert met[2] < 0.25 * len(phrases) * 1600
+
+
+@pytest.mark.parametrize("hot_rows", [10 ** 6, 0])
+def test_weights_count_to_their_last_digit(spark, hot_rows):
+    """Weights of old sales have few digits left: 96 of 98 is no half."""
+    df = spark.createDataFrame(
+        [("q", p, f"{n}e-28") for p, n in (
+            (10.0, 24), (10.0, 24), (11.0, 25), (11.0, 25))],
+        "query string, price double, w string").select(
+        "query", "price", F.col("w").cast(comps.WEIGHT).alias("weight"),
+        F.lit(1).cast(comps.WEIGHT).alias("match_exact"))
+    got = comps.robust_value(df, ["query"], hot_rows=hot_rows).collect()
+    assert [r["value"] for r in got] == [11.0]
