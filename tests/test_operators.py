@@ -462,3 +462,36 @@ def test_weights_count_to_their_last_digit(spark, hot_rows):
         F.lit(1).cast(comps.WEIGHT).alias("match_exact"))
     got = comps.robust_value(df, ["query"], hot_rows=hot_rows).collect()
     assert [r["value"] for r in got] == [11.0]
+
+
+def test_products_and_phrases_of_equal_tokens(spark):
+    """Many copies of a product fill the places in order of product_id."""
+    rows = [(f"{i:03d}", ("red fox" if i % 3 else "fox red")
+             if i % 7 else "red owl", "1990 Topps") for i in range(60)]
+    catalogue = spark.createDataFrame(
+        rows, "product_id string, product_name string, console_name string")
+    phrases = ["1990 topps red fox", "Fox red topps, 1990 unheard",
+               "red owl zebra", "unheard"]
+    df = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    got = {}
+    for r in candidates.candidates(df, catalogue, keep=20).collect():
+        got.setdefault(r["phrase"], []).append(
+            (r["rank"], r["product_id"], r["shared"]))
+    for p in phrases:
+        mine = set(re.findall("[a-z0-9]+", p.lower()))
+        best = sorted((-len(mine & {*n.split(), "1990", "topps"}), i)
+                      for i, n, _ in rows)[:20]
+        want = [(k + 1, i, -s) for k, (s, i) in enumerate(best) if s]
+        assert sorted(got.get(p, [])) == want, p
+
+
+def test_sets_are_not_sent_through_the_driver(spark):
+    """An exploded list looks small; none may be broadcast for that."""
+    df = spark.createDataFrame([("red fox",)], "phrase string")
+    catalogue = spark.createDataFrame(
+        [(str(i), "red fox one two three four", "1990") for i in range(9)],
+        "product_id string, product_name string, console_name string")
+    listed = candidates.product_classes(catalogue, 5)
+    wanted = candidates.numbered(df, "phrase").select("id", "phrase_tokens")
+    _, met = candidates.meeting_pairs(wanted, listed, 5)
+    assert "Broadcast" not in met._jdf.queryExecution().sparkPlan().toString()
