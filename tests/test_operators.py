@@ -495,3 +495,26 @@ def test_sets_are_not_sent_through_the_driver(spark):
     wanted = candidates.numbered(df, "phrase").select("id", "phrase_tokens")
     _, met = candidates.meeting_pairs(wanted, listed, 5)
     assert "Broadcast" not in met._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_copies_of_lines_and_products_meet_once(spark, monkeypatch):
+    from lotwise.functions import guide_price
+    from lotwise.operators import basket
+    lines = spark.range(30).select(
+        F.col("id").alias("line"), F.lit("Red Fox #4").alias("name"),
+        F.lit("").alias("grade"), F.lit(None).cast("string").alias("set"),
+        F.lit(1.0).alias("cost"))
+    catalogue = spark.range(40).select(
+        F.format_string("%03d", "id").alias("product_id"),
+        F.lit("Red Fox #4").alias("product_name"), F.when(
+            F.col("id") < 20, "1990 Topps").otherwise("1991 Topps").alias(
+            "console_name"), *(F.lit(100).cast("long").alias(c)
+                               for c in guide_price.PRICE_COLUMNS))
+    met, whole = [], basket.matches
+    monkeypatch.setattr(basket, "matches", lambda *a: met.append(
+        whole(*a)) or met[-1])
+    got = basket.price(lines, catalogue).collect()
+    assert sorted(r["line"] for r in got) == list(range(30))
+    assert {(r["product_id"], r["guess"], r["price"]) for r in got} == {
+        ("000", True, 1.0)}
+    assert met[0].count() <= 4
