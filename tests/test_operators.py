@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.config import DEFAULT, replace
+from lotwise.functions import guide_price
 from lotwise.operators import (candidates, close_model, comps, gates, history,
-                               ledger, rank, relevance)
+                               ledger, rank, relevance, resolve)
 from lotwise.plans import QUERIES
 from lotwise.sources import adapters, feeds, guide_files
 from lotwise.streaming import jobs
@@ -518,3 +519,35 @@ def test_copies_of_lines_and_products_meet_once(spark, monkeypatch):
     assert {(r["product_id"], r["guess"], r["price"]) for r in got} == {
         ("000", True, 1.0)}
     assert met[0].count() <= 4
+
+
+def test_titles_are_scored_once_per_asset(spark):
+    """Grades and noise words make no further pairs; a bracket word that a
+    title says does, and prices follow each title's own grade."""
+    grades = ["", " PSA 10", " PSA 9", " PSA 8", " PSA 9 look", " rare PSA 9"]
+    titles = [f"2019 Topps Chrome red gizmo #39{x}{g}"
+              for x in ("", " Gold Wave") for g in grades]
+    listings = spark.createDataFrame([(t, "Sports Cards") for t in titles],
+                                     "title string, category string")
+    prices = ", ".join(f"{c} long" for c in guide_price.PRICE_COLUMNS)
+    catalogue = spark.createDataFrame([
+        (str(i), f"red gizmo{mark} #39", "2019 Topps Chrome", "Trading Card",
+         5, "sports", 1000, 2000, 3000, 4000, 5000, 6000, None, None, None)
+        for i, mark in enumerate(("", " [Gold Wave]", " [Refractor]"))],
+        "product_id string, product_name string, console_name string, "
+        f"genre string, sales_volume int, host string, {prices}")
+    rows, assets, scored = resolve.scored_assets(listings, catalogue)
+    assert rows.count() == len(titles)
+    assert assets.count() == 2          # with and without Gold Wave
+    assert scored.count() == 2 * 3
+    got = {r["title"]: r for r in resolve.resolve(listings,
+                                                  catalogue).collect()}
+    assert len(got) == len(titles)
+    assert {r["candidates"] for r in got.values()} == {3}
+    for title, r in got.items():
+        assert r["product_id"] == ("1" if "Wave" in title else "0"), title
+        if r["guide_value"] is not None:
+            assert r["guide_value"] == (
+                60.0 if "PSA 10" in title else 40.0 if "PSA 9" in title
+                else 30.0 if "PSA 8" in title else 10.0), title
+    assert any(r["guide_value"] == 60.0 for r in got.values())
