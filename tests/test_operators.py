@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from lotwise.config import DEFAULT, replace
 from lotwise.functions import guide_price
 from lotwise.operators import (candidates, close_model, comps, gates, history,
-                               ledger, rank, relevance, resolve)
+                               ledger, rank, relevance, resolve, wanted)
 from lotwise.plans import QUERIES
-from lotwise.sources import adapters, feeds, guide_files
+from lotwise.sources import adapters, feeds, guide_files, targets
 from lotwise.streaming import jobs
 
 
@@ -551,3 +551,19 @@ def test_titles_are_scored_once_per_asset(spark):
                 60.0 if "PSA 10" in title else 40.0 if "PSA 9" in title
                 else 30.0 if "PSA 8" in title else 10.0), title
     assert any(r["guide_value"] == 60.0 for r in got.values())
+
+
+def test_wanted_items_meet_on_their_rarest_group(spark):
+    """Words that all items share make no pairs; synonyms still hit."""
+    names = [f"fox card{i} signed" for i in range(40)] + ["fox", "???"]
+    items = targets.wanted_items(spark.createDataFrame(
+        [(n, i, None, None) for i, n in enumerate(names)],
+        "name string, position int, weight double, max_price double"), 42)
+    titles = spark.createDataFrame(
+        [(f"Fox card{i} auto",) for i in range(20)]
+        + [("signed fox",), ("signed card3",), ("owl",)], "title string")
+    got = {r["title"]: r["wanted"] for r in wanted.tag(titles,
+                                                       items).collect()}
+    assert got == {f"Fox card{i} auto": f"fox card{i} signed"
+                   for i in range(20)} | {"signed fox": "fox"}
+    assert wanted.meetings(titles, items).count() <= 3 * 23
