@@ -251,3 +251,24 @@ def test_sinks(spark):
     sinks.write_csv(df, folder + "/c")
     assert spark.read.option("header", True).csv(folder + "/c").first()[
         "t"] == "x; y"
+
+
+def test_quick_patterns_match_the_same(spark):
+    """Every fixed pattern finds the same with its first characters named."""
+    import re
+    from lotwise import vocab
+    from lotwise.functions import text
+    fixed = [p for p in vars(vocab).values()
+             if isinstance(p, str) and "|" in p]
+    assert sum(text.quick(p) != p for p in fixed) > 20
+    assert text.quick("a|b*") == "a|b*" and text.quick("a|.b") == "a|.b"
+    words = sorted({w for p in fixed for w in re.findall(r"[a-z]{2,}", p)})
+    rows = [f"{a} {b}#{i} {c} {i % 40}/{i} [{a}] 19{i % 90 + 10}-{i % 90 + 10}"
+            f" no. {i} 1st ed psa {i % 12} pop! 4\" figure"
+            for i, (a, b, c) in enumerate(zip(words, words[1:], words[2:]))]
+    df = spark.createDataFrame([(r,) for r in rows + words + ["", " ", "トップサン"]],
+                               "t string")
+    for p in fixed:
+        old = F.regexp_extract_all("t", F.lit(p), F.lit(0))
+        new = F.regexp_extract_all("t", F.lit(text.quick(p)), F.lit(0))
+        assert df.filter(~old.eqNullSafe(new)).count() == 0, p
