@@ -3,7 +3,10 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from lotwise.functions import guide_price
 from lotwise.operators import close_model
+from lotwise.plans import QUERIES
+from lotwise.sources import adapters
 
 
 class Counted(Pipeline):
@@ -30,3 +33,34 @@ def test_every_fold_is_fitted_once(spark, monkeypatch):
     assert sorted(Counted.seen) == sorted(400 - n for n in sizes)
     assert got == pytest.approx(close_model.grouped_error(rows, folds=4))
     assert 0 < got < 2
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def curve_cents(product, grade):
+    """The price curve by hand: exact rung, else linear, else the last."""
+    names = ((5.0, "loose_price"), *guide_price.LADDER)
+    points = [(at, float(product[n])) for at, n in names if product[n]]
+    low = [p for p in points if p[0] <= grade]
+    high = [p for p in points if p[0] > grade]
+    if not low:
+        return float(product["loose_price"] or 0) or None
+    (at, cents), above = low[-1], high[:1]
+    if at == grade or not above:
+        return cents
+    return cents + (above[0][1] - cents) * ((grade - at) / (above[0][0] - at))
+
+
+def test_price_curves_have_no_interpreted_lambdas(spark, sf_dir):
+    for name in ("guide_prices", "guide_monotone"):
+        assert "lambda" not in plan_of(QUERIES[name](spark, sf_dir)), name
+    products = {r["product_id"]: r.asDict() for r in adapters.view(
+        spark, sf_dir, "catalogue").collect()}
+    got = QUERIES["guide_prices"](spark, sf_dir).filter(
+        "grader = 'psa'").collect()
+    assert len(got) == 8 * len(products)
+    for r in got:
+        assert r["cents"] == curve_cents(products[r["product_id"]],
+                                         r["grade"]), r
