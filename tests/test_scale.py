@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from lotwise.functions import guide_price
+from lotwise.functions import guide_price, identity
 from lotwise.operators import close_model
 from lotwise.plans import QUERIES
 from lotwise.sources import adapters
@@ -64,3 +64,18 @@ def test_price_curves_have_no_interpreted_lambdas(spark, sf_dir):
     for r in got:
         assert r["cents"] == curve_cents(products[r["product_id"]],
                                          r["grade"]), r
+
+
+def test_pools_parse_every_text_once(spark, sf_dir, monkeypatch):
+    """Not once per pair of a listing and a sale, nor once per pool."""
+    parse, seen = identity.with_identity, []
+
+    def noted(df, title="title", out="ident", fields=None):
+        seen.append((title, df.count(), df.select(title).distinct().count()))
+        return parse(df, title, out, fields)
+
+    monkeypatch.setattr(identity, "with_identity", noted)
+    assert QUERIES["targeted_values"](spark, sf_dir).count() > 0
+    assert seen and all(n == texts for _, n, texts in seen), seen
+    assert [t for t, *_ in seen].count("text") == 1
+    assert {t for t, *_ in seen} == {"text", "targeted_query"}
