@@ -8,13 +8,18 @@ from pyspark.sql import SparkSession
 
 STATE_STORE = ("org.apache.spark.sql.execution.streaming.state."
                "RocksDBStateStoreProvider")
+#: Bytes of a method above which HotSpot does not compile it.
+JIT_LIMIT = 8000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the run-time options results depend on (UTC) and adaptive plans."""
+    """Set the run-time options results depend on (UTC), adaptive plans, and
+    no generated method beyond what the JVM compiles: larger ones would be
+    interpreted, row by row."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_LIMIT))
     return spark
 
 

@@ -79,3 +79,9 @@ def test_pools_parse_every_text_once(spark, sf_dir, monkeypatch):
     assert seen and all(n == texts for _, n, texts in seen), seen
     assert [t for t, *_ in seen].count("text") == 1
     assert {t for t, *_ in seen} == {"text", "targeted_query"}
+
+
+def test_queries_run_with_methods_the_jvm_compiles(spark, sf_dir):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    QUERIES["research_view"](spark, sf_dir)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
