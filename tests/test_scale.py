@@ -3,8 +3,10 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from lotwise.functions import guide_price, identity
-from lotwise.operators import close_model
+from lotwise import vocab
+from lotwise.functions import guide_price, identity, text, variants
+from lotwise.functions.stage import stage
+from lotwise.operators import close_model, pools
 from lotwise.plans import QUERIES
 from lotwise.sources import adapters
 
@@ -85,3 +87,12 @@ def test_queries_run_with_methods_the_jvm_compiles(spark, sf_dir):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     QUERIES["research_view"](spark, sf_dir)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_staged_columns_are_made_below_the_generator(spark):
+    """A generator is interpreted where its stage is too large to compile."""
+    df = stage(spark.range(3), up=F.exp(F.col("id") * 2.5), n=F.col("id") + 1)
+    lines = [x for x in plan_of(df).splitlines() if "Generate" in x]
+    assert lines and all("EXP" not in x.upper().replace("EXPLODE", "")
+                         for x in lines), lines
+    assert [r["n"] for r in df.orderBy("id").collect()] == [1, 2, 3]
