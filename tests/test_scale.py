@@ -96,3 +96,30 @@ def test_staged_columns_are_made_below_the_generator(spark):
     assert lines and all("EXP" not in x.upper().replace("EXPLODE", "")
                          for x in lines), lines
     assert [r["n"] for r in df.orderBy("id").collect()] == [1, 2, 3]
+
+
+def test_a_text_is_searched_for_its_number_once_or_twice(spark):
+    """Not again in each test of what was found."""
+    low = F.col("low")
+    cases = {"jordan #57 psa 9": "57", "card no. 12": "12", "x 4/102 y": None,
+             "pokemon 4/102": "4", "topps #1986 star": None, "#5/10": None,
+             "pokemon #5/10 a": "5", "# 19865": None, "no 1999": None,
+             "1/2 no. 7": None, "": None, "plain": None, "#0203": "0203"}
+    df = spark.createDataFrame([*cases.items(), (None, None)],
+                               "low string, want string")
+    got = df.select("low", "want", variants.card_number(low).alias("n"))
+    for r in got.collect():
+        assert r["n"] == r["want"], r
+    low = F.col("id").cast("string")
+    searches = plan_of(spark.range(3).select(variants.card_number(
+        low).alias("n"))).count(text.quick(vocab.ANY_NUMBER))
+    assert 1 <= searches <= 2, searches
+
+
+def test_floors_without_the_own_ask_do_not_multiply_the_rows(spark):
+    pools_ = spark.createDataFrame(
+        [("q", "s", float(i), 1) for i in range(9)],
+        "query string, sig string, price double, n long")
+    got = pools.leave_one_out(pools_, ["query", "sig"])
+    assert "Generate" not in plan_of(got)
+    assert got.count() == 9
