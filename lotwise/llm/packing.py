@@ -95,11 +95,31 @@ class WordIds:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.again = np.zeros(1 << 16, bool)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def keep(self, here: np.ndarray, room: int) -> None:
+        """Forget the words that no later texts held again.  Those of `here`
+        stay anyway, alone if there is no room for more."""
+        n = len(self.number)
+        some = np.zeros(n, bool)
+        some[here] = True
+        more = some | self.again[:n]
+        kept = np.flatnonzero(more if more.sum() <= room else some)
+        names = list(self.number)       # in the order of their numbers
+        self.number = {names[i]: j for j, i in enumerate(kept.tolist())}
+        lengths = self.lengths[kept]
+        flat = self.flat[ragged(self.starts[kept], lengths)]
+        self.used = len(flat)
+        self.flat[:self.used] = flat
+        self.lengths[:len(kept)] = lengths
+        self.starts[:len(kept)] = np.cumsum(lengths) - lengths
+        self.again[:] = False
+
     def cut(self, word: str) -> list[str]:
         if "<|" in word:            # may be a special token
             return [word]
@@ -132,9 +152,13 @@ class WordIds:
 
     def learn(self, words: list[str]) -> None:
         cuts = [self.cut(w) for w in words]
-        if len(self.parts) > PARTS_KEPT:
-            self.parts.clear()
-        new = list(set(chain.from_iterable(cuts)).difference(self.parts))
+        # two generations: what is still in use moves to the newer one
+        if len(self.parts) > PARTS_KEPT // 2:
+            self.older, self.parts = self.parts, {}
+        new = set(chain.from_iterable(cuts)).difference(self.parts)
+        moved = new.intersection(self.older)
+        self.parts.update((x, self.older[x]) for x in moved)
+        new = list(new.difference(moved))
         for at in range(0, len(new), JOINED):
             some = new[at:at + JOINED]
             plain = [x for x in some if self.PLAIN.fullmatch(x)
@@ -152,7 +176,8 @@ class WordIds:
         n, total = len(self.number), int(lengths.sum())
         for name, need in (("flat", self.used + total),
                            ("starts", n + len(ids)),
-                           ("lengths", n + len(ids))):
+                           ("lengths", n + len(ids)),
+                           ("again", n + len(ids))):
             old = getattr(self, name)
             if need > len(old):
                 setattr(self, name, np.concatenate(
@@ -172,9 +197,14 @@ class WordIds:
         number = np.fromiter(map(self.number.get, words, repeat(-1)),
                              np.int64, len(words))
         new = np.flatnonzero(number < 0)
+        known = number[number >= 0]
         if len(self.number) + len(new) > WORDS:
-            self.forget()
-            new = np.arange(len(words))
+            # half at most, so that it is rarely full
+            self.keep(known, min(WORDS // 2, WORDS - len(new)))
+            number = np.fromiter(map(self.number.get, words, repeat(-1)),
+                                 np.int64, len(words))
+        else:
+            self.again[known] = True
         if len(new):
             number[new] = len(self.number) + np.arange(len(new))
             self.learn([words[i] for i in new.tolist()])
