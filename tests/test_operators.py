@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.config import DEFAULT, replace
-from lotwise.functions import guide_price
+from lotwise.functions import guide_price, matching
 from lotwise.operators import (candidates, close_model, comps, gates, history,
                                ledger, rank, relevance, resolve, wanted)
 from lotwise.plans import QUERIES
@@ -567,3 +567,80 @@ def test_wanted_items_meet_on_their_rarest_group(spark):
     assert got == {f"Fox card{i} auto": f"fox card{i} signed"
                    for i in range(20)} | {"signed fox": "fox"}
     assert wanted.meetings(titles, items).count() <= 3 * 23
+
+
+def test_print_runs_autographs_and_variants_share_their_pairs(spark):
+    """What a title has of its own makes no further pairs with products."""
+    titles = [f"2019 Topps Chrome red gizmo{v}{run} #39{auto}{g}"
+              for v in ("", " Unlimited") for run in ("", " /99", " /50")
+              for auto in ("", " Auto") for g in ("", " PSA 9")]
+    listings = spark.createDataFrame([(t, "Sports Cards") for t in titles],
+                                     "title string, category string")
+    prices = ", ".join(f"{c} long" for c in guide_price.PRICE_COLUMNS)
+    catalogue = spark.createDataFrame([
+        (str(i), f"red gizmo{mark} #39", "2019 Topps Chrome", "Trading Card",
+         5, "sports", 1000, 2000, 3000, 4000, 5000, 6000, None, None, None)
+        for i, mark in enumerate(("", " /99", " Auto"))],
+        "product_id string, product_name string, console_name string, "
+        f"genre string, sales_volume int, host string, {prices}")
+    _, cores, _ = resolve.scored_assets(listings, catalogue)
+    # one per set of candidates, which numbers and autographs ask for
+    assert cores.count() <= 6
+    got = {r["title"]: r for r in resolve.resolve(listings,
+                                                  catalogue).collect()}
+    assert len(got) == len(titles)
+    for title, r in got.items():
+        if "/99" in title:
+            assert r["product_id"] == "1", title
+        if "/50" in title:              # another print run rules it out
+            assert r["product_id"] != "1", title
+
+
+def test_products_left_out_are_neither_best_nor_rival(spark, sf_dir):
+    titles = adapters.view(spark, sf_dir, "titles").select(
+        "title", F.when(F.col("query").contains("Pokemon"), "Pokemon Cards")
+        .when(F.col("query").contains("NES"), "Video Games")
+        .otherwise("Sports Cards").alias("category")).distinct()
+    wanted_ = resolve.sought(titles, None)
+    rows, _, scored = resolve.scored_cores(
+        wanted_, adapters.view(spark, sf_dir, "catalogue"))
+    whole = scored.groupBy("core_id").agg(F.sort_array(F.collect_list(
+        "part")).alias("all_parts"))
+    parts = resolve.leading(scored)
+    own = {f: F.col(f) for f in matching.OWN}
+    both = rows.join(whole, "core_id").join(parts, "core_id").select(
+        "candidates", "all_parts", "parts",
+        matching.asset_keys(own, F.col("all_parts")).alias("k"),
+        matching.asset_keys(own, F.col("parts")).alias("l"))
+
+    def result(keys, parts):
+        best = F.array_max(keys)
+        return F.struct(F.get(parts, matching.key_place(best))["product_id"],
+                        matching.key_score(best), matching.key_score(
+                            matching.rival_key(F.col(keys), best)))
+
+    both = both.select(
+        "candidates", F.size("k").alias("n"), F.size("l").alias("m"),
+        result("k", "all_parts").alias("a"), result("l", "parts").alias("b"))
+    assert both.count() > 1000
+    assert both.filter(~F.col("a").eqNullSafe(F.col("b"))
+                       | (F.col("candidates") != F.col("n"))).count() == 0
+    total = both.agg(F.sum("m"), F.sum("n")).first()
+    assert total[0] < 0.5 * total[1]
+
+
+def test_invariants_quote_memorabilia_only(spark, sf_dir, monkeypatch):
+    """The rule on quotes reads those of memorabilia; no other is made."""
+    seen, whole = [], resolve.resolve
+    monkeypatch.setattr(resolve, "resolve", lambda rows, *a, **k: seen.append(
+        rows) or whole(rows, *a, **k))
+    assert QUERIES["corpus_invariants"](spark, sf_dir).count() == 0
+    assert {r[0] for r in seen[0].select("category").distinct().collect()
+            } <= {"Sports Memorabilia"}
+
+
+def test_shuffles_leave_several_tasks_per_core(spark):
+    from lotwise.session import TASKS_PER_CORE, prepare
+    assert int(prepare(spark).conf.get(
+        "spark.sql.adaptive.coalescePartitions.minPartitionNum")
+    ) == TASKS_PER_CORE * spark.sparkContext.defaultParallelism
